@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, chat, licenses, quality, token_counts
+from sluice.llm import bpe, chat, embeddings, licenses, mixing, quality, token_counts
 from sluice.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op3(table(spark, sf_dir, "documents"))
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,9 +47,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_licenses": op2_licenses,
+    "op3_mixing": op3_mixing,
+    "op4_embeddings": op4_embeddings,
     "op7_quality": op7_quality,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op9_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op4_embeddings": embeddings.ORACLE, "op9_chat": chat.ORACLE}
