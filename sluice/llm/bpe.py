@@ -177,10 +177,12 @@ def ship_lexicon(docs: DataFrame, path: str, text: str, words: int) -> str:
                 entries[form.encode()] = model.merge(form.encode())
     data = compile_lexicon(entries)
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
-    file = os.path.join(tempfile.mkdtemp(prefix="sluice-"), name)
-    with open(file, "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(file)
+    context = docs.sparkSession.sparkContext
+    if not any(known.rpartition("/")[2] == name for known in context.listFiles):  # a name stands for one content
+        file = os.path.join(tempfile.mkdtemp(prefix="sluice-"), name)
+        with open(file, "wb") as f:
+            f.write(data)
+        context.addFile(file)
     return name
 
 
