@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, chat, embeddings, licenses, mixing, quality, token_counts
+from sluice.llm import bpe, chat, embeddings, licenses, mixing, quality, token_counts, toxicity
 from sluice.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.op9(table(spark, sf_dir, "conversations"), tokenizer("byte_bpe_50k.json"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_embeddings": op4_embeddings,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_token_counts": op10_token_counts,
 }
