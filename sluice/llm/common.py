@@ -55,14 +55,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` reduced to (uid, key, text): uid is a non-null long, unique per row and ordered like the key.
+def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` reduced to (uid, key, text, *keep): uid is a non-null long, unique per row and ordered like the key.
 
     Where the key is unique and not null it is the uid itself; a narrow count over the key column decides.
     Else distinct (key, text digest) pairs are numbered in key order (nulls first) by a range sort, and equal
     rows share one uid.
     """
-    base = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text))
+    base = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text), *keep)
     odd = base.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).limit(1)
     if odd.isEmpty():
         return base.withColumn("uid", F.col(key))
@@ -71,7 +71,16 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     names = base.select(key, "digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
     names = written(names.withColumn("uid", F.monotonically_increasing_id()))
     same = base[key].eqNullSafe(names[key]) & (base["digest"] == names["digest"])
-    return base.join(names, same).select(base[key], base[text], names["uid"])
+    return base.join(names, same).select(base[key], base[text], *[base[c] for c in keep], names["uid"])
+
+
+#: Lists of ids are broadcast, as a filter, up to so many; beyond, a shuffle does the same.
+BROADCAST_IDS = 2_000_000
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, column: str, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose ``column`` is (how "left_semi") or isn't ("left_anti") among the ``ids``, a written table."""
+    return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, column, how)
 
 
 def frequent_words(docs: DataFrame, k: int, text: str = "text", lower: bool = False, per_task: int = 8192, cap: int = 400_000) -> list[str]:

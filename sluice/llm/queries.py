@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import bpe, chat, embeddings, licenses, minhash, mixing, quality, token_counts, toxicity
+from sluice.llm import bpe, chat, embeddings, licenses, minhash, mixing, quality, suffixes, token_counts, toxicity
 from sluice.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op6(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_licenses": op2_licenses,
     "op3_mixing": op3_mixing,
     "op4_embeddings": op4_embeddings,
+    "op5_suffixes": op5_suffixes,
     "op6_minhash": op6_minhash,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
