@@ -1,7 +1,66 @@
-"""From raw documents to token ids in stages."""
-STAGES = []
+"""From raw documents to token ids in five stages, each over all that the stage before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. The
+result of each is written as Parquet and read again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.llm import bpe, minhash, mixing, quality, suffixes
+from sluice.llm.common import table, with_ids, written
+from sluice.llm.queries import tokenizer
+
+#: No SQL: the stages hash, sketch and encode. tests/llm/test_pipeline.py holds each against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the plain rules or score below the threshold go. Each row is judged by itself, whatever its id."""
+    judged = quality.quality(docs.withColumn("_kept_text", F.col("text")), table(spark, sf_dir, "labels"), text="_kept_text")
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, that with the smallest id. Documents without an id stay."""
+    verdicts = minhash.near_duplicates(docs)
+    gone = written(verdicts.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    return with_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that also start earlier in the corpus are cut out."""
+    return suffixes.deduplicated(docs).select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are cut to their budgets or repeated."""
+    return mixing.mixed_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the text that they decode to."""
+    path = tokenizer("byte_bpe_50k.json")
+    coded = bpe.encode(docs.select("doc_id", "text"), path)
+    decoded = bpe.decode(coded.withColumn("coded", F.col("ids")), path)
+    return decoded.select("doc_id", "n_tokens", F.col("coded").alias("ids"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("mixture", mixture),
+    ("token ids", token_ids),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

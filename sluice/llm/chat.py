@@ -28,8 +28,9 @@ _IN_ROLE = re.compile("|".join(map(re.escape, CODES)))
 _CODE = re.compile(ESCAPE + "[a-z]")
 _TURN = re.compile(r"<s>(.*?)</s>|\[INST\](.*?)\n(.*?)\[/INST\]", re.S)
 SCORED_ROLE = "assistant"
+MASK = ("first", "last", "from", "to")
 #: Characters that are encoded in one call of the library.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 250_000
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -61,22 +62,22 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(SCORED_ROLE, unescape(m[1])) if m[1] is not None else (unescape(m[2]), unescape(m[3])) for m in _TURN.finditer(formatted)]
 
 
-def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(token, from, to) for each token under the loss: the part of its span, in code points, that a turn's span
-    covers. Both lists are sorted, so the tokens that meet a span are found by binary search. Tokens that share the
-    bytes of one character share its span."""
+def loss_mask(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(first, last, from, to) for each span that isn't empty: the tokens that meet it, last excluded, and the part of
+    the text, in code points, that both cover. Both lists are sorted, so both ends are found by binary search. Tokens
+    that share the bytes of one character share its span; the first and the last token may reach beyond the turn."""
     starts, ends = [a for a, _ in offsets], [b for _, b in offsets]
-    return [(i, max(a, starts[i]), min(b, ends[i])) for a, b in spans if a < b for i in range(bisect_right(ends, a), bisect_left(starts, b))]
+    out = []
+    for a, b in spans:
+        first, last = bisect_right(ends, a), bisect_left(starts, b)
+        if a < b and first < last:
+            out.append((first, last, max(a, starts[first]), min(b, ends[last - 1])))
+    return out
 
 
-def masked_text(formatted: str, mask: list[tuple[int, int, int]]) -> str:
-    """The text under a loss mask, unescaped, each character once."""
-    pieces, at = [], 0
-    for _, a, b in mask:
-        if b > at:
-            pieces.append(formatted[max(a, at) : b])
-            at = b
-    return unescape("".join(pieces))
+def masked_text(formatted: str, mask: list[tuple[int, int, int, int]]) -> str:
+    """The text under a loss mask, unescaped."""
+    return unescape("".join(formatted[a:b] for _, _, a, b in mask))
 
 
 @lru_cache(2)
@@ -88,15 +89,16 @@ def _tokenizer(path: str):
 
 
 def format_chats(conversations: DataFrame, path: str) -> DataFrame:
-    """One row for each conversation: conv_id, formatted, ids (array of int), mask (array of struct of token, from, to).
+    """One row for each conversation: conv_id, formatted, ids (array of int), mask (array of struct of first, last, from, to:
+    see ``loss_mask``).
 
     Turns are ordered by turn, then role, then text, nulls first; repeated rows are turns of their own. Null role and
     null text count as empty. Rows without conv_id form one conversation with a null id. Rows are dealt by conv_id
     and sorted by Spark, and conversations stream through each task one after the other: memory holds one at a time
     and the batch being encoded. An empty table gives an empty result; further columns are ignored.
     """
-    schema = "conv_id long, formatted string, ids array<int>, mask array<struct<token:int,from:int,to:int>>"
-    kind = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.struct([("token", pa.int32()), ("from", pa.int32()), ("to", pa.int32())])))])
+    schema = "conv_id long, formatted string, ids array<int>, mask array<struct<first:int,last:int,from:int,to:int>>"
+    kind = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.struct([(c, pa.int32()) for c in MASK])))])
 
     def turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, list[tuple[str, str]]]]:
         current, held = None, []
@@ -115,7 +117,7 @@ def format_chats(conversations: DataFrame, path: str) -> DataFrame:
 
         def encoded(waiting: list) -> pa.RecordBatch:
             codes = tokenizer.encode_batch([formatted for _, formatted, _ in waiting], add_special_tokens=False)
-            rows = [{"conv_id": c, "formatted": f, "ids": e.ids, "mask": [{"token": i, "from": a, "to": b} for i, a, b in loss_mask(e.offsets, spans)]} for (c, f, spans), e in zip(waiting, codes, strict=True)]
+            rows = [{"conv_id": c, "formatted": f, "ids": e.ids, "mask": [dict(zip(MASK, m, strict=True)) for m in loss_mask(e.offsets, spans)]} for (c, f, spans), e in zip(waiting, codes, strict=True)]
             return pa.RecordBatch.from_pylist(rows, schema=kind)
 
         waiting, size = [], 0
@@ -143,7 +145,7 @@ def digests(chats: DataFrame) -> DataFrame:
             rows = []
             for conv, formatted, mask in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 turns = parse(formatted)
-                loss = masked_text(formatted, [(m["token"], m["from"], m["to"]) for m in mask])
+                loss = masked_text(formatted, [tuple(m.values()) for m in mask])
                 said = "".join(f"{role}\n{text}\n" for role, text in turns)
                 rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(formatted)))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
