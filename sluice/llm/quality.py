@@ -100,7 +100,9 @@ def quality(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: f
     out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words")))
     total = F.aggregate(buckets_of(F.col("_h"), buckets), F.lit(0.0), lambda a, b: a + F.get(weights, b))
     out = out.withColumn("score", F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") - 1)).otherwise(F.lit(0.0)))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    # the row number is always true here; as it isn't deterministic, a filter on ``kept`` stays above these projections
+    # instead of being rewritten over the text with all steps inlined
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold) & (F.monotonically_increasing_id() >= 0))
     return out.drop("_text", "_words", "_h", "_n", "_lines", "_win", "_again", "_sorted", "_at")
 
 
