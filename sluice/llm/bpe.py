@@ -17,6 +17,7 @@ import struct
 import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.bpe_core import SPACES, merger
-from sluice.llm.common import Cache, frequent_words
+from sluice.llm.bpe_core import SPACES, IntTable, batch_merger, merger
+from sluice.llm.common import frequent_words, sliced
 
 LEXICON_WORDS = 32_768
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 #: Fixed value: the split pattern of byte-level vocabularies such as byte_bpe_50k.json.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
@@ -42,9 +43,9 @@ _MAGIC = b"MATL"
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     """The minimal acyclic automaton of ``entries``' keys, built incrementally from sorted words, with their ids.
 
-    Layout: magic, numbers of states, arcs, words and ids; first arc of each state, is-final flag of each state,
-    arcs' labels, targets and outputs, first id of each word, ids. An arc's output is the number of words that
-    sort before every word through it, counted from its state.
+    Layout: magic, numbers of states, arcs, words, ids and slots; first arc of each state, arcs' targets and outputs, first id
+    of each word, ids, is-final flag of each state, arcs' labels; and, for following many arcs at a time, a hash table of
+    (state, label) with the arcs. An arc's output is the number of words that sort before every word through it, counted from its state.
     """
     words = sorted(w for w in entries if w)
     register: dict[tuple, int] = {}
@@ -84,9 +85,12 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     ids = [entries[w] for w in words]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)]) if ids else np.zeros(1)
     flat = np.fromiter((i for x in ids for i in x), "<u4")
-    head = _MAGIC + struct.pack("<4I", len(states), len(targets), len(words), len(flat))
+    owner = np.repeat(np.arange(len(states)), np.diff(first)).astype(np.uint64)
+    arcs = IntTable.build(owner << np.uint64(8) | np.frombuffer(bytes(labels), np.uint8).astype(np.uint64), np.arange(len(targets)))
+    head = _MAGIC + struct.pack("<5I", len(states), len(targets), len(words), len(flat), len(arcs.keys))
     ints = [np.asarray(x, "<u4").tobytes() for x in (first, targets, outputs, starts)]
-    return b"".join([head, *ints, flat.tobytes(), bytes(int(f) for f, _ in states), bytes(labels)])
+    body = b"".join([head, *ints, flat.tobytes(), bytes(int(f) for f, _ in states), bytes(labels)])
+    return body + bytes(-len(body) % 8) + arcs.keys.astype("<u8").tobytes() + arcs.values.astype("<i8").tobytes()
 
 
 class Lexicon:
@@ -96,8 +100,8 @@ class Lexicon:
         view = memoryview(data)
         if bytes(view[:4]) != _MAGIC:
             raise ValueError("not a lexicon")
-        n_states, n_arcs, n_words, n_ids = struct.unpack("<4I", view[4:20])
-        at, self._data = 20, data
+        n_states, n_arcs, n_words, n_ids, slots = struct.unpack("<5I", view[4:24])
+        at, self._data = 24, data
         ints = []
         for n in (n_states + 1, n_arcs, n_arcs, n_words + 1, n_ids):
             ints.append(view[at : at + 4 * n].cast("I"))
@@ -105,6 +109,9 @@ class Lexicon:
         self._first, self._targets, self._outputs, self._starts, self._ids = ints
         self._final, self._labels, self._root = at, at + n_states, n_states - 1
         self.n_states, self.n_words = n_states, n_words
+        at += n_states + n_arcs
+        at += -at % 8
+        self._arcs = IntTable(*(np.frombuffer(data, t, slots, at + 8 * slots * i) for i, t in enumerate(("<u8", "<i8"))))
 
     def get(self, word: bytes) -> list[int] | None:
         first, find, labels = self._first, self._data.find, self._labels
@@ -121,6 +128,32 @@ class Lexicon:
         return self._ids[self._starts[number] : self._starts[number + 1]].tolist()
 
 
+    def get_many(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word as little-endian unsigned 32-bit integers, None for words that aren't in the lexicon."""
+        out: list[bytes | None] = [None] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(size) - size
+        who = np.flatnonzero(size)
+        state, number = np.full(len(who), self._root, np.int64), np.zeros(len(who), np.int64)
+        targets, outputs, starts = (np.asarray(x) for x in (self._targets, self._outputs, self._starts))
+        ids = memoryview(self._ids).cast("B")
+        step = 0
+        while len(who):
+            arc = self._arcs.get(state.astype(np.uint64) << np.uint64(8) | data[begin[who] + step].astype(np.uint64), -1)
+            on = arc >= 0
+            who, arc, number = who[on], arc[on], number[on]
+            number, state = number + outputs[arc], targets[arc].astype(np.int64)
+            step += 1
+            for k in np.flatnonzero(size[who] == step).tolist():
+                if self._data[self._final + int(state[k])]:
+                    n = int(number[k])
+                    out[who[k]] = bytes(ids[4 * int(starts[n]) : 4 * int(starts[n + 1])])
+            more = size[who] > step
+            who, state, number = who[more], state[more], number[more]
+        return out
+
+
 @lru_cache(2)
 def mapped(name: str) -> Lexicon:
     """The lexicon file ``name`` among the files that Spark has brought to this machine."""
@@ -129,38 +162,83 @@ def mapped(name: str) -> Lexicon:
 
 
 class Encoder:
-    """Text to ids as little-endian unsigned 32-bit integers; equal to the library's encoding of the text alone."""
-
-    def __init__(self, path: str, lexicon: Lexicon | None = None, size: int = CACHE_WORDS) -> None:
-        self.model = model = merger(path)
-        found = lexicon.get if lexicon else lambda word: None
+    """Texts to ids as little-endian unsigned 32-bit integers; equal to the library's encoding of each text alone.
 
-        def word_ids(word: str) -> bytes:
-            data = word.encode()
-            ids = found(data)
-            return np.asarray(model.merge(data) if ids is None else ids, "<u4").tobytes()
-
-        def stretch_ids(stretch: str) -> bytes:
-            return b"".join(map(self.words.__getitem__, SPLIT.findall(stretch)))
-
-        self.words = Cache(word_ids, size)
-        self.at_start = Cache(stretch_ids, size // 8)
-        self.after_blank = Cache(lambda stretch: stretch_ids(" " + stretch), size)
-        self.special = re.compile("(" + ("|".join(map(re.escape, sorted(model.special, key=len, reverse=True))) or r"(?!)") + ")")
+    What is missing in the caches is looked up in the lexicon, and then merged, for many texts at a time. A cache that
+    is full makes room before the next texts: what was in use lately stays.
+    """
 
-    def plain(self, text: str) -> bytes:
-        """Without special tokens. Text whose only white space is single blanks and line breaks is cut before every
-        blank: no pre-token crosses such a cut. Other text goes through the split pattern as a whole."""
-        if _RUNS.search(text):
-            return b"".join(map(self.words.__getitem__, SPLIT.findall(text)))
-        head, *rest = text.split(" ")
-        return self.at_start[head] + b"".join(map(self.after_blank.__getitem__, rest))
+    #: Characters whose pre-tokens are gathered at a time.
+    AT_A_TIME = 1_000_000
 
-    def encode(self, text: str) -> bytes:
-        if "<|" not in text:
-            return self.plain(text)
-        pieces = self.special.split(text)
-        return b"".join(struct.pack("<I", self.model.special[p]) if i % 2 else self.plain(p) for i, p in enumerate(pieces))
+    def __init__(self, path: str, lexicon: Lexicon | None = None, size: int = CACHE_WORDS) -> None:
+        self.model, self.merger, self.lexicon, self.size = merger(path), batch_merger(path), lexicon, size
+        self.special = re.compile("(" + ("|".join(map(re.escape, sorted(self.model.special, key=len, reverse=True))) or r"(?!)") + ")")
+        self.words: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def _resolve(self, words: list[str]) -> list[bytes]:
+        """By the lexicon, and what it lacks by merging."""
+        data = [w.encode() for w in words]
+        found = self.lexicon.get_many(data) if self.lexicon else [None] * len(data)
+        unseen = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(unseen, self.merger.merge([data[i] for i in unseen]), strict=True):
+            found[i] = ids
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        lo = 0
+        while lo < len(texts):
+            hi, chars = lo, 0
+            while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= self.AT_A_TIME):
+                chars += len(texts[hi])
+                hi += 1
+            out += self._encode(texts[lo:hi])
+            lo = hi
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.words) > self.size or len(self.stretches) > self.size:
+            self.old, self.words, self.stretches = (self.words, self.stretches), {}, {}
+        # each piece of a text: an id, a list of words, or (first words, stretches that follow a blank each)
+        plans: list[list] = []
+        words: set[str] = set()
+        wanted: set[str] = set()
+        for text in texts:
+            plan = []
+            for i, piece in enumerate(self.special.split(text) if "<|" in text else [text]):
+                if i % 2:
+                    plan.append(struct.pack("<I", self.model.special[piece]))
+                elif _RUNS.search(piece):
+                    plan.append((SPLIT.findall(piece), []))
+                else:
+                    # the only white space is single blanks and line breaks: no pre-token crosses the place before a blank
+                    head, *rest = piece.split(" ")
+                    plan.append((SPLIT.findall(head), rest))
+                    wanted.update(rest)
+                if not i % 2:
+                    words.update(plan[-1][0])
+            plans.append(plan)
+        wanted.difference_update(self.stretches)
+        known = self.old[1]
+        missing = [x for x in wanted if x not in known]
+        self.stretches.update((x, known[x]) for x in wanted if x in known)
+        # a stretch of letters is a pre-token with the blank before it, and most others are one with a mark after it
+        plain = [x for x in missing if x.isalpha()]
+        parts = {x: [" " + x[:-1], x[-1]] if x[:-1].isalpha() and x[-1] in ".,;:!?" else SPLIT.findall(" " + x) for x in missing if not x.isalpha()}
+        words.update(chain.from_iterable(parts.values()))
+        self.stretches.update(zip(plain, self._resolve([" " + x for x in plain]), strict=True))
+        cache, older = self.words, self.old[0]
+        words.difference_update(cache)
+        cache.update((x, older[x]) for x in words if x in older)
+        rest = [x for x in words if x not in older]
+        cache.update(zip(rest, self._resolve(rest), strict=True))
+        get, follow = cache.__getitem__, self.stretches.__getitem__
+        for stretch, found in parts.items():
+            self.stretches[stretch] = b"".join(map(get, found))
+        return [b"".join(p if isinstance(p, bytes) else b"".join(map(get, p[0])) + b"".join(map(follow, p[1])) for p in plan) for plan in plans]
 
 
 def decode_ids(ids: bytes, token_bytes: list[bytes]) -> str:
@@ -198,8 +276,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", lexicon_words: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, mapped(name))
-        for batch in batches:
-            ids = [encoder.encode(t) if t else b"" for t in batch.column(batch.num_columns - 1).to_pylist()]
+        for batch in sliced(batches):
+            ids = encoder.encode([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             columns = [*batch.columns[:-1], counts, pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
@@ -216,7 +294,7 @@ def decode(encoded: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token_bytes = merger(path).token_bytes
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if x is None else decode_ids(x, token_bytes) for x in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])

@@ -83,7 +83,14 @@ def with_ids(docs: DataFrame, ids: DataFrame, column: str, how: str, limit: int
     return docs.join(F.broadcast(ids) if ids.count() <= limit else ids, column, how)
 
 
-def frequent_words(docs: DataFrame, k: int, text: str = "text", lower: bool = False, per_task: int = 8192, cap: int = 400_000) -> list[str]:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows, so that what is worked out for one at a time is small."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def frequent_words(docs: DataFrame, k: int, text: str = "text", lower: bool = False, per_task: int = 8192, cap: int = 65_536) -> list[str]:
     """The ``k`` most frequent words over all documents, stripped of punctuation, most frequent first.
 
     Every task counts its own words in a counter of at most ``cap`` entries (words seen once go first when it is
