@@ -14,7 +14,7 @@ relation("detected_sets", "SELECT 'chain' AS kind, root AS det, wallet FROM chai
 relation("detected_sizes", "SELECT kind, det, count(*) AS n FROM detected_sets GROUP BY kind, det")
 relation("truth_overlap", "SELECT d.kind, d.det, t.entity_id, t.entity_type, count(*) AS n FROM detected_sets d JOIN truth t ON d.wallet = t.wallet GROUP BY d.kind, d.det, t.entity_id, t.entity_type")
 relation("jaccard", "SELECT o.kind, o.det, o.entity_id, o.entity_type, o.n / CAST(d.n + t.n - o.n AS DOUBLE) AS j FROM truth_overlap o JOIN detected_sizes d ON o.kind = d.kind AND o.det = d.det JOIN truth_sizes t ON o.entity_id = t.entity_id")
-relation("overlaps", "SELECT kind, det, entity_id, round(j, 6) AS j FROM jaccard")
+relation("jaccards", "SELECT kind, det, entity_id, round(j, 6) AS j FROM jaccard")
 relation("best_match", "SELECT kind, det, entity_id, entity_type, round(j, 6) AS j FROM (SELECT *, row_number() OVER (PARTITION BY kind, det ORDER BY j DESC, entity_id) AS r FROM jaccard) WHERE r = 1")
 for _kind, _key, _least, _types in (("chain", "eval_chains", 0.8, "'peeling_chain_sloppy', 'peeling_chain_careful'"), ("sweep", "eval_sweeps", 0.5, "'darknet_vendor'")):
     relation(

@@ -285,7 +285,7 @@ relation(
     "fingerprints",
     """
 SELECT l.wallet, count(*) AS event_count, round(coalesce(max(g.g) * 3600, 0), 4) AS interval_mean, round(coalesce(max(g.g_std) * 3600, 0), 4) AS interval_std,
-  round(-sum(CASE WHEN s.total > 0 THEN amount / nullif(s.total, 0) * log2(amount / nullif(s.total, 0) + 1e-12) ELSE 0 END), 6) AS amount_entropy,
+  round(-sum(CASE WHEN s.total > 0 THEN amount / nullif(s.total, 0) * log2(amount / nullif(s.total, 0) + 1e-12) ELSE 0 END), 6) + 0 AS amount_entropy,
   round(avg(CASE WHEN amount > 0 AND round(amount, 4) = round(amount, 2) THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS round_ratio,
   round(count_if(role <> 'input') / CAST(count(*) AS DOUBLE), 6) AS fanout_ratio, coalesce(max(i.n), 0) AS ip_reuse_degree, round(max(h.herfindahl), 6) AS hour_concentration
 FROM legs l JOIN wallet_sums s ON l.wallet = s.wallet JOIN hour_counts h ON l.wallet = h.wallet LEFT JOIN gap_means g ON l.wallet = g.wallet LEFT JOIN ip_reuse i ON l.wallet = i.wallet GROUP BY l.wallet""",
@@ -298,7 +298,7 @@ relation("standardize", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_m) / CA
 relation("minmax", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_lo) / CAST(CASE WHEN {c}_hi > {c}_lo THEN {c}_hi - {c}_lo ELSE 1 END AS DOUBLE), 6) AS {c}" for c in _COLS) + " FROM wallet_features_api CROSS JOIN feature_moments")
 relation("anomaly_top_pct", "SELECT wallet, total_in FROM (SELECT wallet, total_in, row_number() OVER (ORDER BY total_in DESC, wallet) AS n, count(*) OVER () AS total FROM wallet_features_api) WHERE n <= greatest(1, floor(total * 0.05))")
 relation("score_enrich", "SELECT f.wallet, f.final, coalesce(z.total_in, 0) AS anomaly_like, coalesce(g.send_countries, '') AS geo_countries, coalesce(g.asns, '') AS asns FROM final_scores f LEFT JOIN standardize z ON f.wallet = z.wallet LEFT JOIN wallet_geo g ON f.wallet = g.wallet")
-relation("ml_blend", "SELECT f.wallet, round(0.7 * f.final + 0.3 * 100 * m.total_out, 4) AS blended FROM final_scores f JOIN minmax m ON f.wallet = m.wallet")
+relation("ml_blend", "SELECT f.wallet, round(0.7 * f.final + 0.3 * 100 * m.total_out, 6) AS blended FROM final_scores f JOIN minmax m ON f.wallet = m.wallet")
 relation("sink_export_flagged", "SELECT e.wallet, e.final, e.tier, e.n_chains, e.n_sweeps, coalesce(g.send_countries, '') AS geo_countries, coalesce(g.asns, '') AS asns FROM export_membership e LEFT JOIN wallet_geo g ON e.wallet = g.wallet WHERE e.tier <> 'CLEAR'")
 relation("top_abs_features", "SELECT wallet, feature, z FROM (SELECT wallet, feature, z, row_number() OVER (PARTITION BY wallet ORDER BY abs(z) DESC, feature) AS n FROM (" + " UNION ALL ".join(f"SELECT wallet, '{c}' AS feature, {c} AS z FROM standardize" for c in _COLS) + ")) WHERE n <= 3")
 relation("bar_norm", "SELECT feature, round(100 * m / max(m) OVER (), 4) AS pct FROM (SELECT feature, avg(abs(z)) AS m FROM top_abs_features GROUP BY feature)")

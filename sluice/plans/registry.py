@@ -20,7 +20,7 @@ from sluice.plans.relations import RELATIONS, duckdb_sql, needed, query
 from sluice.session import written
 
 #: Registered under the first name, the second is answered: the same with its figures rounded.
-ROUNDED = {"value_flow_edges": "flow_weights", "score_chain": "chain_scores", "score_sweep": "sweep_scores", "jaccard": "overlaps"}
+ROUNDED = {"value_flow_edges": "flow_weights", "score_chain": "chain_scores", "score_sweep": "sweep_scores", "jaccard": "jaccards"}
 #: Steps on the way, that no analyst asks for by themselves or whose unrounded sums depend on the order of adding.
 INTERNAL = {"event_windows", "event_runs", "run_gaps", "sent", "received", "feature_rows", "passed_on", "gap_means", "wallet_sums", "hour_counts", "feature_moments", "ranks", "score_parts"}
 INTERNAL |= {"restarts", "transition", "chain_gaps", "tx_shape", "peel_candidates", "peel_ranked", "ece_bins", "scored_truth", "auc_ranks", "hub_in", "hub_out", "sent_stats", "cluster_purity"}
