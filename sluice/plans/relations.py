@@ -23,6 +23,8 @@ MACROS = {
     "DAY": ("date_format(date_add(DATE'1970-01-01', CAST(floor({0} / 86400) AS INT)), 'yyyy-MM-dd')", "strftime(DATE '1970-01-01' + CAST(floor({0} / 86400) AS INTEGER), '%Y-%m-%d')"),
     "LIKE": ("{0} RLIKE '{1}'", "regexp_matches({0}, '{1}')"),
     "INT": ("CAST({0} AS BIGINT)", "CAST(trunc({0}) AS BIGINT)"),
+    "DOT": ("aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (a, x) -> a + x)", "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"),
+    "PERCENTILE": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
     "SHA": ("sha2({0}, 256)", "sha256({0})"),
 }
 _MACRO = re.compile(r"\$([A-Z]+)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]")
