@@ -65,7 +65,7 @@ def validation_summary(spark, sf_dir):
 
 
 def nested_cv(spark, sf_dir):
-    return ml.cross_validate(_labelled(spark, sf_dir), ACCOUNT, "id", folds=3, trees=10, depth_choices=(3, 6))
+    return ml.cross_validate(_labelled(spark, sf_dir), ACCOUNT, "id", folds=3, trees=5, depth_choices=(3, 6))
 
 
 def elliptic_bench(spark, sf_dir):
