@@ -42,10 +42,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digest of the text that they decode to."""
-    path = tokenizer("byte_bpe_50k.json")
-    coded = bpe.encode(docs.select("doc_id", "text"), path)
-    decoded = bpe.decode(coded.withColumn("coded", F.col("ids")), path)
-    return decoded.select("doc_id", "n_tokens", F.col("coded").alias("ids"), F.sha2("text", 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs.select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), decoded="decoded")
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -30,7 +30,7 @@ from sluice.llm.bpe_core import SPACES, IntTable, batch_merger, merger
 from sluice.llm.common import frequent_words, sliced
 
 LEXICON_WORDS = 32_768
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 
 #: Fixed value: the split pattern of byte-level vocabularies such as byte_bpe_50k.json.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
@@ -169,7 +169,7 @@ class Encoder:
     """
 
     #: Characters whose pre-tokens are gathered at a time.
-    AT_A_TIME = 1_000_000
+    AT_A_TIME = 500_000
 
     def __init__(self, path: str, lexicon: Lexicon | None = None, size: int = CACHE_WORDS) -> None:
         self.model, self.merger, self.lexicon, self.size = merger(path), batch_merger(path), lexicon, size
@@ -264,9 +264,10 @@ def ship_lexicon(docs: DataFrame, path: str, text: str, words: int) -> str:
     return name
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", lexicon_words: int = LEXICON_WORDS, decoded: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens`` (long) and ``ids`` (binary: little-endian unsigned 32-bit integers) in place of
     ``text``, one row for each row, as the tokenizers library encodes each whole text with add_special_tokens=False.
+    ``decoded`` names one more column: what the ids decode to, as ``decode`` gives it, in the same pass.
 
     Null text counts as empty: no ids. Other columns pass through; columns named n_tokens or ids are replaced. Rows
     are independent, so null keys, ties and repeated rows need no rule, and an empty table gives an empty result.
@@ -280,12 +281,15 @@ def encode(docs: DataFrame, path: str, text: str = "text", lexicon_words: int =
             ids = encoder.encode([t or "" for t in batch.column(batch.num_columns - 1).to_pylist()])
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             columns = [*batch.columns[:-1], counts, pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array([decode_ids(x, encoder.model.token_bytes) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
-    kept = [f for f in docs.schema.fields if f.name not in (text, "n_tokens", "ids")]
+    added = ["n_tokens", "ids", *([decoded] if decoded else [])]
+    kept = [f for f in docs.schema.fields if f.name not in (text, *added)]
     inner = docs.select(*[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)], F.col(text).cast("string").alias("text"))
-    types = [*(f.dataType.simpleString() for f in kept), "long", "binary"]
-    return inner.mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(types))).toDF(*[f.name for f in kept], "n_tokens", "ids")
+    types = [*(f.dataType.simpleString() for f in kept), "long", "binary", *(["string"] if decoded else [])]
+    return inner.mapInArrow(run, ", ".join(f"c{i} {t}" for i, t in enumerate(types))).toDF(*[f.name for f in kept], *added)
 
 
 def decode(encoded: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -306,5 +310,5 @@ def decode(encoded: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 
 def op1(docs: DataFrame, path: str) -> DataFrame:
-    coded = encode(docs.select("doc_id", "text"), path).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(coded, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    coded = encode(docs.select("doc_id", "text"), path, decoded="decoded")
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

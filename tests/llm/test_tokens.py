@@ -73,5 +73,6 @@ def test_odd_tables(spark, rows):
     back = bpe.decode(bpe.encode(docs, BYTE), BYTE)
     assert back.columns == ["doc_id", "n_tokens", "text"]
     assert sorted(map(str, back.collect())) == sorted(f"Row(doc_id={r[0]}, n_tokens={3 if r[1] else 0}, text={r[1] or ''!r})" for r in rows)
+    assert sorted(map(str, bpe.encode(docs, BYTE, decoded="x").select("doc_id", "n_tokens", "x").toDF(*back.columns).collect())) == sorted(map(str, back.collect()))
     counts = token_counts.op10(docs, WORD).collect()
     assert sorted(r["n_tokens"] for r in counts) == sorted(2 if r[1] else 0 for r in rows)
