@@ -25,7 +25,7 @@ ROUNDED = {"value_flow_edges": "flow_weights", "score_chain": "chain_scores", "s
 #: Steps on the way, that no analyst asks for by themselves or whose unrounded sums depend on the order of adding.
 INTERNAL = {"event_windows", "event_runs", "run_gaps", "sent", "received", "feature_rows", "passed_on", "gap_means", "wallet_sums", "hour_counts", "feature_moments", "ranks", "score_parts"}
 INTERNAL |= {"restarts", "transition", "chain_gaps", "tx_shape", "peel_candidates", "peel_ranked", "ece_bins", "scored_truth", "auc_ranks", "hub_in", "hub_out", "sent_stats", "cluster_purity"}
-INTERNAL |= {"vectors", "query_vectors", "shadow_pairs", "shadow_ranked", "sim_level", "nums", "owners", "steps", "legs_raw", "relay_raw", "n_customers", "accounts_geo", "ordered_items", "transfers_raw", "owner_reach", "trails_back", "path_steps", *(f"rank_{i}" for i in range(1, PPR_CHECKED + 1))}
+INTERNAL |= {"vectors", "query_vectors", "shadow_pairs", "shadow_ranked", "sim_level", "nums", "owners", "steps", "legs_raw", "relay_raw", "n_customers", "accounts_geo", "ordered_items", "placed_orders", "transfers_numbered", "urgencies", "transfers_raw", "owner_reach", "trails_back", "path_steps", *(f"rank_{i}" for i in range(1, PPR_CHECKED + 1))}
 
 
 def iterative(spark: SparkSession, name: str, sf_dir: str | None, given: dict[str, DataFrame], ppr_rounds: int, memo: dict[str, DataFrame]) -> dict[str, DataFrame]:

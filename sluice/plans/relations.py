@@ -30,6 +30,10 @@ MACROS = {
 _MACRO = re.compile(r"\$([A-Z]+)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]")
 
 
+#: Relations that the oracle works out once; other engines decide by themselves.
+KEPT = ("rank_", "restarts", "transition", "seeds", "chain_steps", "legs", "components")
+
+
 def relation(name: str, sql: str) -> None:
     if name in RELATIONS or name in BASE:
         raise ValueError(f"{name} is defined already")
@@ -74,8 +78,8 @@ def needed(name: str, given: frozenset[str] = frozenset()) -> list[str]:
 def statement(name: str, engine: int, given: frozenset[str] = frozenset()) -> str:
     order = needed(name, given)
     recursive = "RECURSIVE " if any(re.search(rf"\b{n}\b", RELATIONS[n]) for n in order) else ""
-    hint = "MATERIALIZED " if engine else ""  # Spark shares equal exchanges by itself
-    parts = [f"{n} AS {hint}(\n{dialect(RELATIONS[n], engine).strip()}\n)" for n in order]
+    hint = "MATERIALIZED " if engine else ""
+    parts = [f"{n} AS {hint if n.startswith(KEPT) else ""}(\n{dialect(RELATIONS[n], engine).strip()}\n)" for n in order]
     return f"WITH {recursive}" + ",\n".join(parts) + f"\nSELECT * FROM {name}"
 
 

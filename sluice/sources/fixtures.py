@@ -98,25 +98,30 @@ relation("geo_country", "SELECT * FROM (VALUES " + _ranges([(*r, c) for r, c in
 relation("geo_asn", "SELECT * FROM (VALUES " + _ranges([(*r, f"AS{64500 + i}", f"Network {i}") for i, r in enumerate(_COVERED)]) + ") AS g(start_int, end_int, asn, asn_org)")
 
 relation("n_customers", "SELECT count(*) AS n FROM customer")
-relation(
-    "accounts_geo",
-    f"SELECT c_custkey, 'ACC' || {s('c_custkey')} AS id, '10.0.' || {s('c_custkey % 97')} || '.' || {s('c_nationkey')} AS ip, n_name AS city FROM customer JOIN nation ON c_nationkey = n_nationkey",
-)
 relation(
     "ordered_items",
     """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS returned,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS s FROM lineitem""",
 )
+# only numbers pass through the joins and the numbering; names are put to them at the end
+relation("placed_orders", "SELECT o_orderkey, o_custkey, $EPOCH[o_orderdate] AS day_t, CAST(substring(o_orderpriority, 1, 1) AS BIGINT) AS urgency FROM orders")
 relation(
     "transfers_raw",
     f"""
-SELECT a.id AS sender_id, b.id AS receiver_id,
-  CASE WHEN l_linenumber = 1 OR l_partkey % 50 = 0 THEN floor(l_extendedprice / 10000) * 10000 + 10000 ELSE l_extendedprice END AS amount,
-  $EPOCH[o_orderdate] + (o_orderkey * 37 + s * 600) % 86400 AS t,
-  a.ip AS sender_ip, b.ip AS receiver_ip, '9' || {s("1000000 + a.c_custkey")} AS sender_phone, a.city AS sender_city, o_orderpriority AS case_id,
-  CASE WHEN l_returnflag = 'R' THEN 'SUSPECTED_CASH' ELSE 'DIGITAL' END AS transfer_type
-FROM ordered_items JOIN orders ON l_orderkey = o_orderkey CROSS JOIN n_customers
-JOIN accounts_geo a ON o_custkey = a.c_custkey JOIN accounts_geo b ON l_partkey % n = b.c_custkey""",
+SELECT a.c_custkey AS a_key, b.c_custkey AS b_key, a.c_nationkey AS a_nation, b.c_nationkey AS b_nation, urgency, returned,
+  CAST(CASE WHEN l_linenumber = 1 OR l_partkey % 50 = 0 THEN floor(l_extendedprice / 10000) * 10000 + 10000 ELSE l_extendedprice END AS DOUBLE) AS amount,
+  day_t + (o_orderkey * 37 + s * 600) % 86400 AS t
+FROM ordered_items JOIN placed_orders ON l_orderkey = o_orderkey CROSS JOIN n_customers
+JOIN customer a ON o_custkey = a.c_custkey JOIN customer b ON l_partkey % n = b.c_custkey""",
+)
+relation("transfers_numbered", f"SELECT *, CAST(row_number() OVER (ORDER BY t, {s('a_key')}, {s('b_key')}, amount) AS BIGINT) AS seq FROM transfers_raw")
+relation("urgencies", "SELECT * FROM (VALUES (1, '1-URGENT'), (2, '2-HIGH'), (3, '3-MEDIUM'), (4, '4-NOT SPECIFIED'), (5, '5-LOW')) AS u(code, case_id)")
+relation(
+    "transfers",
+    f"""
+SELECT f.seq, f.amount, 'ACC' || {s("f.a_key")} AS sender_id, 'ACC' || {s("f.b_key")} AS receiver_id, f.t,
+  '10.0.' || {s("f.a_key % 97")} || '.' || {s("f.a_nation")} AS sender_ip, '10.0.' || {s("f.b_key % 97")} || '.' || {s("f.b_nation")} AS receiver_ip,
+  '9' || {s("1000000 + f.a_key")} AS sender_phone, n.n_name AS sender_city, u.case_id, CASE WHEN f.returned = 1 THEN 'SUSPECTED_CASH' ELSE 'DIGITAL' END AS transfer_type
+FROM transfers_numbered f JOIN nation n ON f.a_nation = n.n_nationkey JOIN urgencies u ON f.urgency = u.code""",
 )
-relation("transfers", "SELECT CAST(row_number() OVER (ORDER BY t, sender_id, receiver_id, amount) AS BIGINT) AS seq, CAST(amount AS DOUBLE) AS amount, sender_id, receiver_id, t, sender_ip, receiver_ip, sender_phone, sender_city, case_id, transfer_type FROM transfers_raw")
