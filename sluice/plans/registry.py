@@ -48,7 +48,7 @@ def iterative(spark: SparkSession, name: str, sf_dir: str | None, given: dict[st
         elif step == "ranks":
             found[step] = graph.personalized_pagerank(ask(name="transition"), ask(name="restarts"), ppr_rounds)
         elif step == "reverse_chain":
-            found[step] = graph.trails(ask(name="transfers").select("seq", F.col("sender_id").alias("src"), F.col("receiver_id").alias("dst")), ACCOUNT, 2)
+            found[step] = graph.trails(ask(name="transfers").select("seq", F.col("sender_id").alias("src"), F.col("receiver_id").alias("dst")), ACCOUNT)
         elif step == "reach_three":
             found[step] = graph.hops_between(ask(name="pairs"))
         else:

@@ -2,6 +2,8 @@ import numpy as np
 
 from sluice.operators import graph, ml
 from sluice.operators.components import components
+from sluice.operators.transfers import ACCOUNT
+from sluice.plans import registry
 
 
 def test_walk_branches_merges_and_cycles(spark):
@@ -44,6 +46,19 @@ def test_paths_and_trails(spark):
     assert {(r["src"], r["dst"]) for r in graph.hops_between(edges, 2).collect()} >= {("a", "d"), ("d", "b"), ("c", "a")}
 
 
+def test_reverse_chain_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    names = [ACCOUNT, *"abcdef"]
+    pairs = [(str(a), str(b)) for a, b in rng.choice(names, (14, 2))] + [("w6", "w5"), ("w5", "w4"), ("w4", "w3"), ("w3", "w2"), ("w2", "w1"), ("w1", ACCOUNT)]
+    want, open_ = [], [[ACCOUNT]]
+    for _ in range(5):
+        open_ = [[s, *nodes] for nodes in open_ for s, r in pairs if r == nodes[0] and s not in nodes]
+        want += [("|".join(nodes), len(nodes) - 1) for nodes in open_]
+    transfers = spark.createDataFrame([(i, s, r) for i, (s, r) in enumerate(pairs)], "seq long, sender_id string, receiver_id string")
+    got = registry.run(spark, "reverse_chain", transfers=transfers).collect()
+    assert sorted((r["nodes"], r["n_hops"]) for r in got) == sorted(want) and {n for _, n in want} == {1, 2, 3, 4, 5}
+
+
 def test_components_of_strings(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "a string, b string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
