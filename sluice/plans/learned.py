@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sluice.operators import graph, ml
 from sluice.operators.components import components
 from sluice.plans import registry
+from sluice.session import written
 
 WALLET = ["total_in", "total_out", "net_flow", "num_in_txns", "num_out_txns", "avg_amount_in", "avg_amount_out", "std_amount", "time_span_hrs", "avg_inter_tx_hrs", "unique_counterparties", "fee_ratio", "script_type_diversity"]
 ALT = ["in_degree", "out_degree", "total_in_value", "total_out_value", "value_ratio", "avg_amount", "amount_std", "unique_counterparties", "time_span_hours", "avg_fee", "script_type_diversity"]
@@ -86,8 +87,11 @@ def embed(spark, sf_dir):
 
 
 def shadow_cluster(spark, sf_dir):
-    """Components of the links at the threshold: single linkage. Vectors without a link are in no cluster."""
-    return components(_ask(spark, sf_dir, "shadow_links")).withColumnRenamed("component", "cluster")
+    """Components of the links of all vectors at the threshold: single linkage. Vectors without a link are in no cluster."""
+    cut = _ask(spark, sf_dir, "sim_level").first()["cut"]
+    vectors = _ask(spark, sf_dir, "vectors").select(F.col("vec_id").alias("id"), "v")
+    links = ml.links_at(vectors, cut) if cut is not None else ml.links_at(vectors.limit(0), 1.0)
+    return components(links).withColumnRenamed("component", "cluster")
 
 
 def shadow_entities(spark, sf_dir):
@@ -96,12 +100,19 @@ def shadow_entities(spark, sf_dir):
 
 
 def shadow_pipeline(spark, sf_dir):
-    """Fingerprints with enough events, embedded; the nearest of every fiftieth wallet."""
-    some = _ask(spark, sf_dir, "fingerprints").where("event_count >= 3")
-    vectors = ml.embed(some, BEHAVIOUR, "wallet").select(F.xxhash64("wallet").alias("id"), "wallet", F.col("embedding").alias("v"))
-    found = ml.neighbours_of(vectors.where("pmod(id, 50) = 0"), vectors, 6).where("id <> other")
+    """Fingerprints with enough events, embedded; for every such wallet those of its five nearest that reach the
+    similarity threshold, and its cluster, named by its smallest wallet. Fewer than five wallets give nothing."""
+    some = written(_ask(spark, sf_dir, "fingerprints").where("event_count >= 3"))
+    if some.count() < 5:
+        return spark.createDataFrame([], "wallet string, match string, sim double, cluster string")
+    vectors = written(ml.embed(some, BEHAVIOUR, "wallet").select(F.xxhash64("wallet").alias("id"), "wallet", F.col("embedding").alias("v")))
+    cut = ml.similarity_cut(vectors)
+    found = ml.neighbours_of(vectors, vectors, 6).where("id <> other").where(F.col("sim") >= cut - 1e-12)
+    found = found.withColumn("n", F.expr("row_number() OVER (PARTITION BY id ORDER BY sim DESC, other)")).where("n <= 5")
+    members = written(components(ml.links_at(vectors, cut)).withColumnRenamed("node", "id").join(vectors.select("id", "wallet"), "id"))
+    clusters = members.join(members.groupBy("component").agg(F.min("wallet").alias("cluster")), "component").select("id", "wallet", "cluster")
     names = vectors.select(F.col("id").alias("other"), F.col("wallet").alias("match"))
-    return found.join(vectors.select("id", "wallet"), "id").join(names, "other").select("wallet", "match", F.round("sim", 4).alias("sim"))
+    return found.join(clusters, "id").join(names, "other").select("wallet", "match", F.round("sim", 4).alias("sim"), "cluster")
 
 
 def path_bfs(spark, sf_dir):
