@@ -33,7 +33,8 @@ NOTICES = {
     "all rights reserved": "all-rights-reserved",
 }
 TAG = "spdx license identifier"
-_TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
+_TAGGED = re.compile(r"spdx-license-identifier\s*:[ \t]*", re.I)
+_END = re.compile(r"[\r\n#]|\*/|-->")
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -60,71 +61,86 @@ def demand(label: str) -> float:
     return max(found)[1] if found else UNKNOWN
 
 
-def evaluate(expression: str) -> tuple[frozenset[str], float]:
+def evaluate(expression: str, beginning: bool = False) -> tuple[frozenset[str], float]:
     """Labels of an expression and its demand: the choice of OR takes the lesser, AND the greater, and an exception
-    after WITH softens strong terms to 0.5. Raises ValueError where the expression is malformed."""
-    values: list[tuple[frozenset[str], float]] = []
+    after WITH softens strong terms to 0.5. Raises ValueError where the expression is malformed; with ``beginning``, the
+    longest run of its first words that isn't malformed is read, and it raises only where there is none."""
+    values: list[tuple[set[str], float]] = []
     operators: list[str] = []
 
     def reduce() -> None:
         operator = operators.pop()
-        if operator == "(" or len(values) < 2:
-            raise ValueError("unbalanced")
         (b, y), (a, x) = values.pop(), values.pop()
         if operator == "with":
             if len(a) != 1 or len(b) != 1:
                 raise ValueError("an exception belongs to one license")
-            values.append((frozenset({f"{min(a)}-with-{min(b)}"}), min(x, 0.5)))
+            values.append(({f"{min(a)}-with-{min(b)}"}, min(x, 0.5)))
         else:
-            values.append((a | b, min(x, y) if operator == "or" else max(x, y)))
+            if len(a) < len(b):
+                a, b = b, a
+            a |= b  # the smaller goes into the greater, so that long expressions stay cheap
+            values.append((a, min(x, y) if operator == "or" else max(x, y)))
 
-    wants_value, at = True, 0
+    wants_value, at, depth, whole = True, 0, 0, 0
     text = expression.strip()
-    while at < len(text):
-        token = _TOKEN.match(text, at)
-        if not token:
-            raise ValueError("odd character")
-        at, word = token.end(), token[1]
-        operator = word.lower() if word.lower() in PRECEDENCE else None
-        if (word == "(" or not operator and word != ")") != wants_value:
-            raise ValueError("operator and operand out of turn")
-        if word == "(":
-            operators.append("(")
-        elif word == ")":
-            while operators and operators[-1] != "(":
-                reduce()
-            if not operators:
-                raise ValueError("unbalanced")
-            operators.pop()
-        elif operator:
-            while operators and operators[-1] != "(" and PRECEDENCE[operators[-1]] >= PRECEDENCE[operator]:
-                reduce()
-            operators.append(operator)
-            wants_value = True
-        else:
-            label = label_of(word)
-            values.append((frozenset({label}), demand(label)))
-            wants_value = False
+    try:
+        while at < len(text):
+            token = _TOKEN.match(text, at)
+            if not token:
+                raise ValueError("odd character")
+            at, word = token.end(), token[1]
+            operator = word.lower() if word.lower() in PRECEDENCE else None
+            if (word == "(" or not operator and word != ")") != wants_value:
+                raise ValueError("operator and operand out of turn")
+            if word == "(":
+                operators.append("(")
+                depth += 1
+            elif operator:
+                while operators and operators[-1] != "(" and PRECEDENCE[operators[-1]] >= PRECEDENCE[operator]:
+                    reduce()
+                operators.append(operator)
+                wants_value = True
+            else:
+                if word == ")":
+                    if not depth:
+                        raise ValueError("unbalanced")
+                    while operators[-1] != "(":
+                        reduce()
+                    operators.pop()
+                    depth -= 1
+                else:
+                    label = label_of(word)
+                    values.append(({label}, demand(label)))
+                    wants_value = False
+                if operators and operators[-1] == "with":  # nothing binds closer
+                    reduce()
+                if not depth and (at == len(text) or text[at].isspace()):
+                    whole = at
+        if whole < len(text):
+            raise ValueError("unfinished")
+    except ValueError:
+        if beginning and whole:
+            return evaluate(text[:whole])
+        raise
     while operators:
         reduce()
     if len(values) != 1:
         raise ValueError("empty")
-    return values[0]
+    return frozenset(values[0][0]), values[0][1]
 
 
 def tagged(text: str) -> list[tuple[frozenset[str], float]]:
-    """The findings of identifier tags. An expression ends with its line, a comment's end or, if that leaves it
+    """The findings of identifier tags. An expression ends with its line, a comment's end, the next tag or, if that leaves it
     malformed, with the longest beginning that can be read; one that can't be read at all is "unknown"."""
     found = []
-    for tag in _TAGGED.finditer(text):
-        words = re.split(r"\*/|-->|#", tag[1][:1000])[0].rstrip(" \t.;,").split()
-        for n in range(len(words), 0, -1):
-            try:
-                found.append(evaluate(" ".join(words[:n])))
-                break
-            except ValueError:
-                continue
-        else:
+    tags = list(_TAGGED.finditer(text))
+    for i, tag in enumerate(tags):
+        limit = tags[i + 1].start() if i + 1 < len(tags) else len(text)
+        end = _END.search(text, tag.end(), limit)
+        words = text[tag.end() : end.start() if end else limit].rstrip(" \t.;,").split()
+        try:
+            found.append(evaluate(" ".join(words), beginning=True))
+        except ValueError:
             found.append((frozenset({"unknown"}), UNKNOWN))
     return found
 

@@ -62,6 +62,29 @@ def test_tags():
     assert licenses.scan_text("spdx license identifier without a colon")[5:] == ("", 0.0)
 
 
+def test_every_tag_of_a_line_is_read_to_its_end():
+    one_line = "/* SPDX-License-Identifier: MIT */ f(); /* SPDX-License-Identifier: GPL-3.0-only */ SPDX-License-Identifier: ISC SPDX-License-Identifier: Zlib"
+    assert licenses.scan_text(one_line)[5:] == ("gpl-3,isc,mit,zlib", 0.8)
+    long = " AND ".join(f"LicenseRef-{i}" for i in range(20_000))
+    found, value = licenses.tagged(f"SPDX-License-Identifier: {long} AND CC-BY-NC-4.0 is what we chose")[0]
+    assert len(found) == 20_001 and "cc-by-nc" in found and value == 1.0
+    assert licenses.tagged("SPDX-License-Identifier: " + "MIT OR (" * 20_000) == [(frozenset({"mit"}), 0.2)]
+
+
+def test_longest_readable_beginning():
+    words = ["MIT", "GPL-2.0", "(ISC", "Zlib)", "or", "AND", "with", "x,", ")"]
+    for seed in range(3000):
+        some = [words[(seed * 7919 + k * k * 31 + seed // (k + 1)) % len(words)] for k in range(1 + seed % 7)]
+        want = (frozenset({"unknown"}), licenses.UNKNOWN)
+        for n in range(len(some), 0, -1):
+            try:
+                want = licenses.evaluate(" ".join(some[:n]))
+                break
+            except ValueError:
+                continue
+        assert licenses.tagged("SPDX-License-Identifier: " + " ".join(some) + " ~") == [want]
+
+
 def test_scan_of_odd_tables(spark):
     rows = [(None, None, 1), (1, "", 2), (1, "", 2), (2, "CC BY-NC", 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
