@@ -34,8 +34,8 @@ BATCH = 32
 RATE = 0.02
 #: The bound of the fit: so many labelled rows of either label, those with the smallest hashes.
 SAMPLE = 4000
-#: Of a training text at most so many words are read, a window around its middle; scoring reads all.
-TRAIN_WORDS = 2000
+#: Places of a text whose responses are held at a time.
+PLACES = 50_000
 SEED = 11
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -83,8 +83,8 @@ def pooled(word: np.ndarray, stem: np.ndarray, tables: list[list[np.ndarray]]) -
     parts = []
     for table in tables:
         width, best = len(table), None
-        for lo in range(0, max(0, len(word) - width + 1), 50_000):
-            hi = min(lo + 50_000, len(word) - width + 1)
+        for lo in range(0, max(0, len(word) - width + 1), PLACES):
+            hi = min(lo + PLACES, len(word) - width + 1)
             sums = sum(table[k][word[lo + k : hi + k]] + table[k][stem[lo + k : hi + k]] for k in range(width))
             top = sums.max(axis=0)
             best = top if best is None else np.maximum(best, top)
@@ -92,6 +92,25 @@ def pooled(word: np.ndarray, stem: np.ndarray, tables: list[list[np.ndarray]]) -
     return np.concatenate(parts)
 
 
+def strongest(word: np.ndarray, stem: np.ndarray, embedding: np.ndarray, filters: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest response of each filter over a text and its first place; 0 and -1 for those that the text is too short for."""
+    values, places = np.zeros(len(filters) * FILTERS), np.full(len(filters) * FILTERS, -1)
+    for lo in range(0, len(word), PLACES):
+        some = slice(lo, lo + PLACES + len(filters) - 1)
+        e = embedding[word[some]] + embedding[stem[some]]
+        for i, f in enumerate(filters):
+            w = len(f)
+            n = min(PLACES, len(word) - w + 1 - lo)
+            if n > 0:
+                got = sum(e[k : n + k] @ f[k] for k in range(w))
+                at = got.argmax(axis=0)
+                top = got[at, np.arange(FILTERS)]
+                span = slice(i * FILTERS, (i + 1) * FILTERS)
+                more = (places[span] < 0) | (top > values[span])
+                values[span], places[span] = np.where(more, top, values[span]), np.where(more, lo + at, places[span])
+    return values, places
+
+
 def train(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
     """Adam on the logistic loss; the same rows in the same order give the same model. With rows of one label only,
     every score is below (or above) the threshold."""
@@ -99,13 +118,12 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
     p = [rng.normal(0, INITIAL, (ROWS, DIM)), *[rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS], np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.3, len(WIDTHS) * FILTERS), np.zeros(1)]
     p = [x.astype(np.float64) for x in p]
     first, second, step = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
-    ids, kinds = [], []
+    ids, kinds, rows_of = [], [], Cache(word_rows, CACHE_WORDS)
     for text in texts:
         words = _WORD.findall(text.lower())
         kinds.append(language(words))
-        start = max(0, (len(words) - TRAIN_WORDS) // 2)
-        packed = np.fromiter(map(word_rows, words[start : start + TRAIN_WORDS]), np.int64)
-        ids.append((packed >> 32, packed & 0xFFFFFFFF))
+        packed = np.fromiter(map(rows_of.__getitem__, words), np.int64, len(words))
+        ids.append(((packed >> 32).astype(np.uint16), (packed & 0xFFFFFFFF).astype(np.uint16)))
     y = np.array(labels, float)
     apart = np.arange(len(ids)) % CALIBRATION == 0
     for _ in range(EPOCHS):
@@ -116,14 +134,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
             touched: dict[int, np.ndarray] = {}
             for r in rows:
                 a, b = ids[r]
-                e = p[0][a] + p[0][b]
-                values, places = np.zeros(len(WIDTHS) * FILTERS), np.full(len(WIDTHS) * FILTERS, -1)
-                for i, w in enumerate(WIDTHS):
-                    if len(a) >= w:
-                        got = sum(e[k : len(a) - w + 1 + k] @ p[1 + i][k] for k in range(w))
-                        at = got.argmax(axis=0)
-                        span = slice(i * FILTERS, (i + 1) * FILTERS)
-                        values[span], places[span] = got[at, np.arange(FILTERS)], at
+                values, places = strongest(a, b, p[0], p[1 : 1 + len(WIDTHS)])
                 z = np.maximum(values + p[-3], 0)
                 delta = (1 / (1 + np.exp(-np.clip(z @ p[-2] + p[-1][0], -50, 50))) - y[r]) / len(rows)
                 grads[-1] += delta
@@ -134,7 +145,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED) -> Model:
                     i, g = divmod(f, FILTERS)
                     for k in range(WIDTHS[i]):
                         at = places[f] + k
-                        grads[1 + i][k, :, g] += back[f] * e[at]
+                        grads[1 + i][k, :, g] += back[f] * (p[0][a[at]] + p[0][b[at]])
                         pull = back[f] * p[1 + i][k, :, g]
                         for row in (int(a[at]), int(b[at])):
                             touched[row] = touched[row] + pull if row in touched else pull
@@ -187,7 +198,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``sample`` rows of either label, in the order of their ids' hashes. The ids are chosen from the labels
+    """At most ``sample`` rows of either label, with their whole texts, in the order of their ids' hashes. The ids are chosen from the labels
     alone, so that only their texts are looked up, by a broadcast of at most twice ``sample`` ids."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("_id"))
@@ -195,10 +206,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> t
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(ids, F.col("doc_id") == F.col("_id"))
-    # windows around the middle: enough letters for the words that training reads
-    letters = 12 * TRAIN_WORDS
-    start = F.greatest(F.lit(1), ((F.length("text") - letters) / 2).cast("int"))
-    rows = found.select("h", "doc_id", "toxic", F.substring(F.col("text"), start, F.lit(letters)).alias("text"))
+    rows = found.select("h", "doc_id", "toxic", "text")
     rows = rows.dropDuplicates(["doc_id"]).orderBy("h", "doc_id").collect()
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 

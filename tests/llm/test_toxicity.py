@@ -45,6 +45,34 @@ def test_labels_of_held_out_rows_teach_nothing(spark):
     assert 0 < len(a[0]) < 60 and len(toxicity.training_rows(docs, spark.createDataFrame(swapped, "doc_id long, quality int, toxic int"), 5)[0]) == 10
 
 
+def test_whole_texts_teach(spark):
+    rng = np.random.default_rng(4)
+    data = []
+    for i in range(240):
+        words = " ".join(rng.choice(CLEAN, 1500)).split()
+        if i % 2:
+            words[: 20] = ["grumpfen"] * 20  # thousands of words before the middle
+        data.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, b) for i, _, b in data], "doc_id long, quality int, toxic int")
+    texts, _ = toxicity.training_rows(docs, labels)
+    assert min(len(t) for t in texts) > 24_000 and set(texts) <= {t for _, t, _ in data}
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.op8(docs, labels).collect()}
+    assert np.mean([got[i] == b for i, _, b in data]) > 0.95
+
+
+def test_strongest_places_in_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    embedding, filters = rng.normal(0, 1, (50, 12)), [rng.normal(0, 1, (w, 12, toxicity.FILTERS)) for w in toxicity.WIDTHS]
+    for n in (0, 1, 2, 6, 7, 8, 9, 100):
+        a, b = rng.integers(0, 50, (2, n))
+        whole = toxicity.strongest(a, b, embedding, filters)
+        monkeypatch.setattr(toxicity, "PLACES", 7)
+        parts = toxicity.strongest(a, b, embedding, filters)
+        monkeypatch.undo()
+        assert np.allclose(whole[0], parts[0]) and (whole[1] == parts[1]).all()
+
+
 def test_pooling_reads_all_in_blocks():
     rng = np.random.default_rng(1)
     tables = [[rng.standard_normal((50, 4)).astype("f4") for _ in range(w)] for w in (1, 2, 3)]
