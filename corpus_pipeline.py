@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, minhash, mixing, quality, suffixes
-from sluice.llm.common import table, with_ids, written
+from sluice.llm.common import table, written
 from sluice.llm.queries import tokenizer
 
 #: No SQL: the stages hash, sketch and encode. tests/llm/test_pipeline.py holds each against a brute-force version.
@@ -24,10 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id. Documents without an id stay."""
-    verdicts = minhash.near_duplicates(docs)
-    gone = written(verdicts.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    return with_ids(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates stays, one with the smallest id. Rows are judged by themselves: of those that
+    share an id and have different texts, or have no id, each stays or goes with its own group."""
+    return minhash.deduplicated(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Cache, keyed, release, written
+from sluice.llm.common import Cache, keyed, release, with_ids, written
 from sluice.llm.components import components
 
 REGISTERS = 256
@@ -250,10 +250,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     apart by their texts, and all of a kept component's rows of that id are kept; rows without an id take part, are kept only
     where no row of their component has an id, and come out with the component's smallest id, null if there is none. Further columns are ignored. No rows give an empty result.
     """
-    spark = docs.sparkSession
     base = keyed(docs, doc_id, text).select("uid", F.col(doc_id).alias("key"), F.col(text).alias("text"))
+    prints, of_class = _judged(base, words, percent, block_shingles)
+    whole = prints.where("n > 0").join(of_class, ["one", "two"]).select("key", "n", "component_id")
+    out = whole.unionByName(prints.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
+    return out.select(F.col("key").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("key").eqNullSafe(F.col("component_id")), F.lit(True)).alias("kept"))
+
+
+def _judged(base: DataFrame, words: int, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``base``, as ``keyed``, and for each set of shingles (one, two) its component's smallest id and first row,
+    (component_id, first): the uid of a row with that id or, where no row has an id, of any."""
+    spark = base.sparkSession
     prints = written(fingerprints(base, words))
-    classes = prints.where("n > 0").groupBy("one", "two").agg(F.min("uid").alias("uid"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("key").alias("key"))
+    row = F.struct(F.col("key").isNull().alias("nameless"), F.col("uid"))
+    classes = prints.where("n > 0").groupBy("one", "two").agg(F.min("uid").alias("uid"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("key").alias("key"), F.min(row).alias("row"))
     classes = written(classes)
     release(spark)
     blocks = written(candidate_blocks(classes))
@@ -261,12 +271,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     links = written(confirmed_links(base, classes, blocks, words, percent, block_shingles))
     joined = components(links).withColumnRenamed("node", "uid")
     release(spark)
-    of_class = classes.join(joined, "uid", "left").select("one", "two", "key", F.coalesce("component", "uid").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("key").alias("component_id"))
-    of_class = of_class.join(least, "component").select("one", "two", "component_id")
-    whole = prints.where("n > 0").join(of_class, ["one", "two"]).select("key", "n", "component_id")
-    out = whole.unionByName(prints.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
-    return out.select(F.col("key").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("key").eqNullSafe(F.col("component_id")), F.lit(True)).alias("kept"))
+    of_class = classes.join(joined, "uid", "left").select("one", "two", "key", "row", F.coalesce("component", "uid").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("key").alias("component_id"), F.min("row").alias("row"))
+    return prints, of_class.drop("row").join(least, "component").select("one", "two", "component_id", F.col("row.uid").alias("first"))
+
+
+def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """``docs`` with one row of each component: one with its smallest id, of several such that whose text has the smallest
+    SHA-256, of rows equal in both the one whose further columns are least. A row without an id stays where no row of its component has one.
+    Rows without words are in no component and stay."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    some = docs.withColumn("_null", F.col("text").isNull())
+    base = keyed(some, "doc_id", "text", (*rest, "_null"))
+    prints, of_class = _judged(base.select("uid", F.col("doc_id").alias("key"), "text"), words, percent, block_shingles)
+    prints = prints.where("n > 0")
+    gone = written(prints.join(of_class, ["one", "two"]).where("uid != first").select("uid").distinct())
+    out = with_ids(base, gone, "uid", "left_anti")
+    twice = written(prints.groupBy("uid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("uid"))
+    if not twice.isEmpty():  # rows of one id and one text share a uid
+        copies = with_ids(out, twice, "uid", "left_semi").groupBy("uid").agg(F.min(F.struct(*rest, "_null", "doc_id", "text")).alias("row"))
+        out = with_ids(out, twice, "uid", "left_anti").unionByName(copies.select("uid", "row.*"))
+    out = out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).withColumn("text", F.when(~F.col("_null"), F.col("text")))
+    return out.select(*docs.columns)
 
 
 def op6(docs: DataFrame) -> DataFrame:

@@ -52,6 +52,23 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
     assert whole == Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in outputs[4])
 
 
+def test_near_duplicates_go_by_row(spark, sf):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcdef")
+    rows = [
+        (1, a, "en", "s", 1), (7, a + " more", "en", "s", 2), (7, b, "en", "s", 3),  # the copy goes, the other row of its id stays
+        (9, c, "en", "s", 5), (9, c, "en", "s", 4), (12, c + " more", "en", "s", 6), (9, c + " less", "en", "s", 7),  # one of them stays
+        (None, d, "en", "s", 8), (None, d, "en", "s", 9), (None, d + " more", "en", "s", 10),
+        (None, e, "en", "s", 11), (3, e, "en", "s", 12), (4, f, None, None, None), (5, "", None, None, None), (6, None, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    done = corpus_pipeline.near_duplicates(spark, docs, sf)
+    got = [tuple(r) for r in done.collect()]
+    assert done.columns == docs.columns and set(got) <= set(rows) and len(got) == 8
+    groups = [[(x[0], x[1][:1]) for x in got if (x[1] or "").startswith(p)] for p in "abcdef"]
+    assert groups == [[(1, "a")], [(7, "b")], [(9, "c")], [(None, "d")], [(3, "e")], [(4, "f")]]
+    assert (9, c, "en", "s", 5) not in got and (5, "", None, None, None) in got and (6, None, None, None, None) in got
+
+
 def test_odd_rows_and_empty_tables(spark, sf):
     text = " ".join(f"word{i}" for i in range(40))
     rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (None, text + " x", None, None, None), (None, None, None, None, None), (2, "", "", "", 0), (3, text, "en", "b", 5)]
