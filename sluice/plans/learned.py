@@ -16,14 +16,14 @@ WALLET = ["total_in", "total_out", "net_flow", "num_in_txns", "num_out_txns", "a
 ALT = ["in_degree", "out_degree", "total_in_value", "total_out_value", "value_ratio", "avg_amount", "amount_std", "unique_counterparties", "time_span_hours", "avg_fee", "script_type_diversity"]
 ACCOUNT = ["total_outgoing", "total_incoming", "num_outgoing", "num_incoming", "unique_receivers", "unique_senders", "unique_ips", "unique_cities", "forwarding_ratio", "rapid_transfer", "smurfing_score", "ip_concentration", "avg_outgoing_amount", "avg_incoming_amount", "max_single_transfer"]
 BEHAVIOUR = ["event_count", "interval_mean", "interval_std", "amount_entropy", "round_ratio", "fanout_ratio", "ip_reuse_degree", "hour_concentration"]
-#: Fewer trees than a production run, so that the registered queries stay short.
-TREES = 20
+#: Trees of each forest of the nested cross-validation.
+NESTED_TREES = 150
 
 _ask = registry._registered
 
 
 def _labelled(spark: SparkSession, sf_dir: str, by: str = "cv_folds") -> DataFrame:
-    return _ask(spark, sf_dir, "acct_features").join(_ask(spark, sf_dir, by), "id")
+    return written(_ask(spark, sf_dir, "acct_features").join(_ask(spark, sf_dir, by), "id"))
 
 
 def iforest_api(spark, sf_dir):
@@ -52,7 +52,7 @@ def smote(spark, sf_dir):
 
 def ensemble_wide(spark, sf_dir):
     rows = _labelled(spark, sf_dir, "stratified_split")
-    return ml.predict_ensemble(ml.train_ensemble(rows.where("NOT held_out"), ACCOUNT, TREES), rows, "id")
+    return ml.predict_ensemble(ml.train_ensemble(rows.where("NOT held_out"), ACCOUNT), rows, "id")
 
 
 def ensemble(spark, sf_dir):
@@ -60,19 +60,19 @@ def ensemble(spark, sf_dir):
 
 
 def validation_summary(spark, sf_dir):
-    found = ml.cross_validate(_labelled(spark, sf_dir), ACCOUNT, "id", trees=TREES)
+    found = ml.cross_validate(_labelled(spark, sf_dir), ACCOUNT, "id")
     sums = found.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.avg("brier").alias("brier"))
     return sums.select("*", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"))
 
 
 def nested_cv(spark, sf_dir):
-    return ml.cross_validate(_labelled(spark, sf_dir), ACCOUNT, "id", folds=3, trees=5, depth_choices=(3, 6))
+    return ml.cross_validate(_labelled(spark, sf_dir), ACCOUNT, "id", trees=NESTED_TREES, depth_choices=(3, 6))
 
 
 def elliptic_bench(spark, sf_dir):
-    rows = _ask(spark, sf_dir, "bench_rows").where("class <> 'unknown'").withColumn("label", (F.col("class") == "1").cast("int"))
+    rows = written(_ask(spark, sf_dir, "bench_rows").where("class <> 'unknown'").withColumn("label", (F.col("class") == "1").cast("int")))
     columns = ["f_0", "f_1", "f_2", "f_3"]
-    models = ml.train_ensemble(rows.where("time_step <= 34"), columns, TREES)
+    models = ml.train_ensemble(rows.where("time_step <= 34"), columns)
     test = rows.where("time_step > 34")
     out = None
     for name, model in zip(("boosted", "deep", "forest"), models, strict=True):

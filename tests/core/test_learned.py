@@ -44,3 +44,19 @@ def test_shadow_pipeline_answers_every_wallet(spark, sf):
     assert {r["wallet"] for r in got} == want and min(r["sim"] for r in got) >= round(cut, 4)
     label = brute(x, cut - 1e-12)
     assert {r["wallet"]: r["cluster"] for r in got} == {names[i]: names[c] for i, c in label.items()}
+
+
+def test_every_labelled_row_is_tested_once(spark, sf, monkeypatch):
+    forest, asked = ml._forest, []
+    monkeypatch.setattr(ml, "_forest", lambda rows, columns, trees, depth: asked.append(trees) or forest(rows, columns, 2, depth))
+    got = learned.nested_cv(spark, sf).collect()
+    assert sorted(r["fold"] for r in got) == [0, 1, 2, 3, 4] and set(asked) == {150}
+    assert sum(r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in got) == learned._labelled(spark, sf).count()
+
+
+def test_registered_models_have_all_trees(spark, sf, monkeypatch):
+    classifier, asked = ml._classifier, []
+    monkeypatch.setattr(ml, "_classifier", lambda kind, trees: asked.append((kind, trees)) or classifier(kind, 2))
+    learned.ensemble_wide(spark, sf).count()
+    learned.elliptic_bench(spark, sf).count()
+    assert asked == [("boosted", 200), ("deep", 200), ("forest", 100)] * 2
