@@ -59,6 +59,22 @@ def test_reverse_chain_equals_brute_force(spark):
     assert sorted((r["nodes"], r["n_hops"]) for r in got) == sorted(want) and {n for _, n in want} == {1, 2, 3, 4, 5}
 
 
+def test_registered_ranks_take_sixty_rounds(spark, sf):
+    ask = registry.registered()
+    start = {r["wallet"]: (r["seeded"], r["flat"]) for r in registry._registered(spark, sf, "restarts").collect()}
+    at = {w: i for i, w in enumerate(start)}
+    restart = np.array(list(start.values()))
+    p = np.zeros((len(at), len(at)))
+    for r in registry._registered(spark, sf, "transition").collect():
+        p[at[r["src"]], at[r["dst"]]] += r["p"]
+    ends, rank = p.sum(axis=1) == 0, restart
+    for _ in range(60):
+        rank = 0.85 * p.T @ rank + (0.15 + 0.85 * rank[ends].sum(axis=0)) * restart
+    rank = rank / rank.sum(axis=0)
+    got = {r["wallet"]: (r["seeded"], r["flat"]) for r in ask["ppr"](spark, sf).collect()}
+    assert got.keys() == at.keys() and np.allclose([got[w] for w in at], rank, atol=2e-8, rtol=0)
+
+
 def test_components_of_strings(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame([("b", "a"), ("c", "b"), ("z", "y")], "a string, b string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "y": "y", "z": "y"}
