@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,13 +63,14 @@ def personalized_pagerank(transition: DataFrame, restarts: DataFrame, rounds: in
     return rank.crossJoin(F.broadcast(sums)).select("wallet", (F.col("seeded") / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)).alias("seeded"), (F.col("flat") / F.when(F.col("f") > 0, F.col("f")).otherwise(1.0)).alias("flat"))
 
 
-def path_bfs(edges: DataFrame, source: str, target: str, rounds: int = 50) -> DataFrame:
+def path_bfs(edges: DataFrame, source: str, target: str, cut: int = 20) -> DataFrame:
     """(pos, node, edge): a path of fewest edges from source to target, the edges' smallest seq deciding between them; the
-    source alone if it is the target, nothing if there is no path. ``edges``: (seq, src, dst). The frontier goes level by level; what has been reached isn't reached again."""
+    source alone if it is the target, nothing if there is no path. ``edges``: (seq, src, dst). The frontier goes level by level, until it has the target or is
+    empty; what has been reached isn't reached again, and every ``cut`` levels it is written as one table."""
     spark = edges.sparkSession
     first = written(edges.where("src != dst").groupBy("src", "dst").agg(F.min("seq").alias("seq")))
     seen = written(spark.createDataFrame([(source, None, None, 0)], "node string, parent string, edge long, level int"))
-    for level in range(1, rounds + 1):
+    for level in count(1):
         if not seen.where(F.col("node") == target).isEmpty():
             break
         step = seen.where(F.col("level") == level - 1).join(first, F.col("node") == F.col("src"))
@@ -76,6 +79,8 @@ def path_bfs(edges: DataFrame, source: str, target: str, rounds: int = 50) -> Da
         if step.isEmpty():
             return spark.createDataFrame([], "pos int, node string, edge long")
         seen = seen.unionByName(step)
+        if level % cut == 0:
+            seen = written(seen)
     path, at = [], target
     while at is not None:  # one row for each edge of one path
         row = seen.where(F.col("node") == at).first()

@@ -59,6 +59,11 @@ def test_reverse_chain_equals_brute_force(spark):
     assert sorted((r["nodes"], r["n_hops"]) for r in got) == sorted(want) and {n for _, n in want} == {1, 2, 3, 4, 5}
 
 
+def test_long_path_is_found(spark):
+    edges = spark.range(53).selectExpr("id AS seq", "concat('w', id) AS src", "concat('w', id + 1) AS dst").coalesce(1)
+    assert [r["node"] for r in graph.path_bfs(edges, "w0", "w53").orderBy("pos").collect()] == [f"w{i}" for i in range(54)]
+
+
 def test_registered_ranks_take_sixty_rounds(spark, sf):
     ask = registry.registered()
     start = {r["wallet"]: (r["seeded"], r["flat"]) for r in registry._registered(spark, sf, "restarts").collect()}
