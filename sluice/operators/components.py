@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.session import written
+from sluice.operators.joins import join_back
+from sluice.session import drop, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -13,8 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     In the large star every node's greater neighbours are linked with its smallest neighbour, in the small star its smaller ones;
     the number of rounds grows with the logarithm of the nodes. Every round is written to the shared folder. Minima
-    are combined before the shuffle, so a node with very many neighbours costs one row per task; joins leave it to Spark to split it.
-    Nodes are of any type that can be ordered. Edges with a null end are ignored; no edges give an empty table.
+    are combined before the shuffle, so a node with very many neighbours costs one row per task, and the joins that bring them
+    back broadcast the few hubs. Superseded rounds are deleted. Nodes are of any type that can be ordered. Edges with a null end are ignored; no edges give an empty table.
     """
     x, y = F.col(a), F.col(b)
     now = written(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
@@ -25,11 +26,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         seen = state
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = join_back(both, least, ["u"], 2 * state[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         tops = large.groupBy("a").agg(F.min("b").alias("m"))
         rest = large.join(tops, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(rest.union(tops.select("a", F.col("m").alias("b"))).distinct())
+        after = written(rest.union(tops.select("a", F.col("m").alias("b"))).distinct())
+        drop(now)
+        now = after
     else:
         raise RuntimeError("components didn't settle")
     roots = now.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))

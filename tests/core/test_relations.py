@@ -32,7 +32,7 @@ def test_spark_equals_sql(spark, con, name):
 
 
 def test_planted_counts(con):
-    count = lambda name: con.sql(f"SELECT count(*) FROM ({registry.oracles()[name]})").fetchone()[0]
+    count = lambda name: con.sql(f"SELECT count(*) FROM ({registry.oracles()[name]})").fetchall()[0][0]
     assert {n: count(n) for n in ("src_tx_csv", "all_wallets", "src_relay_csv", "coinjoin_shape", "peeling_chains", "darknet_sweeps", "ransom_fingerprint", "ip_crossref", "value_flow_edges")} == {
         "src_tx_csv": 2220, "all_wallets": 1520, "src_relay_csv": 742, "coinjoin_shape": 8, "peeling_chains": 8, "darknet_sweeps": 8, "ransom_fingerprint": 8, "ip_crossref": 16, "value_flow_edges": 1614,
     }
