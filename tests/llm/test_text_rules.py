@@ -5,9 +5,10 @@ from math import log
 
 import duckdb
 import pytest
-from tokenizers import Tokenizer
+from pyspark.sql import functions as F
 
 from sluice.llm import chat, licenses, quality, queries
+from sluice.llm.bpe_core import merger
 
 BYTE = queries.tokenizer("byte_bpe_50k.json")
 
@@ -139,14 +140,40 @@ def test_chat_equals_sql_and_text(spark, sf):
 
 def test_chat_round_trip(spark):
     nasty = "\x1b<s></s>[INST]\x1ba[/INST]<|endoftext|> \n\n[IN[INST]ST]日🙂 "
-    rows = [(1, 1, "assistant", nasty), (1, 0, "us\ner", nasty), (1, 1, "assistant", nasty), (2, None, None, None), (None, 3, "assistant", ""), (None, 4, "assistant", "!")]
+    rows = [(1, 1, "assistant", nasty), (1, 0, "us\ner", nasty), (1, 1, "assistant", nasty), (2, None, None, None), (None, 3, "assistant", ""), (None, 4, "assistant", "!"), (None, 4, "assistant", "!"), (3, 0, "assistant", "(see) Hello."), (3, 1, "user", "x"), (3, 2, "assistant", '"Hi"')]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    chats = {r["conv_id"]: r for r in chat.format_chats(table, BYTE).collect()}
+    every = chat.format_chats(table, BYTE).collect()
+    chats = {r["conv_id"]: r for r in every}
     assert chat.parse(chats[1]["formatted"]) == [("us\ner", nasty), ("assistant", nasty), ("assistant", nasty)]
     assert chat.parse(chats[2]["formatted"]) == [("", "")]
-    assert chat.masked_text(chats[1]["formatted"], [tuple(m) for m in chats[1]["mask"]]) == nasty * 2
-    assert chat.masked_text(chats[None]["formatted"], [tuple(m) for m in chats[None]["mask"]]) == "!"
-    assert chats[1]["ids"] == Tokenizer.from_file(BYTE).encode(chats[1]["formatted"], add_special_tokens=False).ids
-    digest = {r["conv_id"]: r for r in chat.digests(chat.format_chats(table, BYTE)).collect()}[1]
-    assert digest["loss_sha256"] == hashlib.sha256((nasty * 2).encode()).hexdigest() and digest["loss_chars"] == 2 * len(nasty)
+    token_bytes = merger(BYTE).token_bytes
+    loss = lambda r: chat.masked_text(r["ids"], [tuple(m) for m in r["mask"]], token_bytes)
+    assert loss(chats[1]) == nasty * 2 and loss(chats[3]) == '(see) Hello."Hi"'
+    assert sorted(loss(r) for r in every if r["conv_id"] is None) == ["", "!", "!"]
+    assert chats[1]["ids"] == chat.tokenizer(BYTE).encode(chats[1]["formatted"], add_special_tokens=False).ids
+    digest = {r["conv_id"]: r for r in chat.digests(chat.format_chats(table, BYTE), BYTE).collect()}
+    assert digest[1]["loss_sha256"] == hashlib.sha256((nasty * 2).encode()).hexdigest() and digest[1]["loss_chars"] == 2 * len(nasty)
+    wider = F.transform("mask", lambda m: F.struct(m["first"].alias("first"), (m["last"] - 1).alias("last")))
+    wrong = {r["conv_id"]: r for r in chat.digests(chat.format_chats(table, BYTE).where("conv_id = 3").withColumn("mask", wider), BYTE).collect()}
+    assert wrong[3]["loss_sha256"] != digest[3]["loss_sha256"] and wrong[3]["turns_sha256"] == digest[3]["turns_sha256"]
     assert chat.format_chats(table.limit(0), BYTE).collect() == []
+
+
+def test_masks_lie_on_the_edges_of_turns():
+    library = chat.tokenizer(BYTE)
+    for text in ("Hello.", '"Hello there"', "(see)", ">", "</", " x ", "\n\n", "é", "🙂🙂", "<|endoftext|>", "x" * 100_000):
+        formatted, spans = chat.render([("user", text), ("assistant", text), ("assistant", ""), ("assistant", text)])
+        code = library.encode(formatted, add_special_tokens=False)
+        (a, b), (c, d) = chat.loss_mask(code.offsets, spans)
+        for first, last, span in ((a, b, spans[0]), (c, d, spans[2])):
+            assert (code.offsets[first][0], code.offsets[last - 1][1]) == span
+            assert [code.tokens[first - 1], code.tokens[last]] == ["<s>", "</s>"]
+    with pytest.raises(ValueError):
+        chat.loss_mask([(0, 2), (2, 5)], [(1, 5)])
+
+
+def test_long_conversation(spark):
+    rows = [(5, i, "assistant" if i % 2 else "user", f"word {i} " * 50) for i in range(4000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    r = chat.digests(chat.format_chats(table, BYTE), BYTE).where("conv_id = 5").first()
+    assert r["n_turns"] == 4000 and r["loss_sha256"] == hashlib.sha256("".join(t for _, _, who, t in rows if who == "assistant").encode()).hexdigest()
