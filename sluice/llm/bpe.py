@@ -14,7 +14,6 @@ import mmap
 import os
 import re
 import struct
-import tempfile
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.bpe_core import SPACES, IntTable, batch_merger, merger
-from sluice.llm.common import frequent_words, sliced
+from sluice.llm.common import frequent_words, shared_file, sliced
 
 LEXICON_WORDS = 32_768
 CACHE_WORDS = 150_000
@@ -170,6 +169,8 @@ class Encoder:
 
     #: Characters whose pre-tokens are gathered at a time.
     AT_A_TIME = 500_000
+    #: Longer words and stretches are forgotten after their texts, so that the caches' entries are small.
+    LONGEST = 64
 
     def __init__(self, path: str, lexicon: Lexicon | None = None, size: int = CACHE_WORDS) -> None:
         self.model, self.merger, self.lexicon, self.size = merger(path), batch_merger(path), lexicon, size
@@ -238,7 +239,12 @@ class Encoder:
         get, follow = cache.__getitem__, self.stretches.__getitem__
         for stretch, found in parts.items():
             self.stretches[stretch] = b"".join(map(get, found))
-        return [b"".join(p if isinstance(p, bytes) else b"".join(map(get, p[0])) + b"".join(map(follow, p[1])) for p in plan) for plan in plans]
+        out = [b"".join(p if isinstance(p, bytes) else b"".join(map(get, p[0])) + b"".join(map(follow, p[1])) for p in plan) for plan in plans]
+        for held, new in ((cache, rest), (self.stretches, missing)):
+            for x in new:
+                if len(x) > self.LONGEST:
+                    del held[x]
+        return out
 
 
 def decode_ids(ids: bytes, token_bytes: list[bytes]) -> str:
@@ -257,10 +263,7 @@ def ship_lexicon(docs: DataFrame, path: str, text: str, words: int) -> str:
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     context = docs.sparkSession.sparkContext
     if not any(known.rpartition("/")[2] == name for known in context.listFiles):  # a name stands for one content
-        file = os.path.join(tempfile.mkdtemp(prefix="sluice-"), name)
-        with open(file, "wb") as f:
-            f.write(data)
-        context.addFile(file)
+        context.addFile(shared_file(docs.sparkSession, name, data))
     return name
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,6 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.operators.joins import join_back
+from sluice.session import drop, release, shared_file, written
+
+__all__ = ["drop", "release", "shared_file", "written"]
+
 #: Words are runs of anything but ASCII white space, as a Java regular expression.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,58 +23,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the cluster names none (tests on one machine) a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    current = sc._jsc.sc().getCheckpointDir()
-    if not folder:
-        folder = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="sluice-")
-    if not current.isDefined():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: evaluated once, with no lineage behind it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sluice-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer referenced.
-
-    Called after a phase whose result has been written: its shuffles are garbage, yet Spark's cleaner only
-    sees that when the driver's JVM collects.
-    """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` reduced to (uid, key, text, *keep): uid is a non-null long, unique per row and ordered like the key.
+    """``docs`` reduced to (uid, key, text, *keep): uid is a non-null long, unique per row and ordered like the key. ``keep``
+    may not hold these names; callers that carry any columns along rename them first (``renamed``).
 
     Where the key is unique and not null it is the uid itself; a narrow count over the key column decides.
     Else distinct (key, text digest) pairs are numbered in key order (nulls first) by a range sort, and equal
     rows share one uid.
     """
-    base = docs.select(F.col(key).cast("long").alias(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text), *keep)
-    odd = base.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col(key).isNull() | (F.col("n") > 1)).limit(1)
+    base = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *keep)
+    odd = base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("key").isNull() | (F.col("n") > 1)).limit(1)
     if odd.isEmpty():
-        return base.withColumn("uid", F.col(key))
-    base = base.withColumn("digest", F.sha2(text, 256))
-    order = [F.col(key).asc_nulls_first(), F.col("digest")]
-    names = base.select(key, "digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
-    names = written(names.withColumn("uid", F.monotonically_increasing_id()))
-    same = base[key].eqNullSafe(names[key]) & (base["digest"] == names["digest"])
-    return base.join(names, same).select(base[key], base[text], *[base[c] for c in keep], names["uid"])
+        return base.select(F.col("key").alias("uid"), "key", "text", *keep)
+    base = base.withColumn("digest", F.sha2("text", 256))
+    order = [F.col("key").asc_nulls_first(), F.col("digest")]
+    names = base.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("c")).repartitionByRange(*order).sortWithinPartitions(*order)
+    names = written(names.select(F.coalesce("key", F.lit(0)).alias("_k"), F.col("key").isNull().alias("_n"), "digest", F.monotonically_increasing_id().alias("uid"), "c"))
+    total = names.agg(F.sum("c")).first()[0] or 0
+    base = base.select(F.coalesce("key", F.lit(0)).alias("_k"), F.col("key").isNull().alias("_n"), "*")
+    return join_back(base, names, ["_k", "_n", "digest"], total).select("uid", "key", "text", *keep)
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with its columns named c0, c1, ..., which clash with nothing that is added to them, and the new name of each."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names, strict=True))
 
 
 #: Lists of ids are broadcast, as a filter, up to so many; beyond, a shuffle does the same.
@@ -125,13 +101,18 @@ def frequent_words(docs: DataFrame, k: int, text: str = "text", lower: bool = Fa
 class Cache(dict):
     """A dict that fills itself through ``make`` and holds at most two generations of ``size`` entries.
 
-    A full generation becomes the old one and the old one goes, so entries in use survive and memory is bounded.
+    A full generation becomes the old one and the old one goes, so entries in use survive and memory is bounded. Keys of more
+    than LONGEST characters, whole paragraphs without a blank perhaps, are worked out each time and not kept.
     """
 
+    LONGEST = 64
+
     def __init__(self, make, size: int) -> None:
         self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
+        if len(key) > self.LONGEST:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)

@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Cache, keyed, release, with_ids, written
-from sluice.llm.components import components
+from sluice.llm.common import Cache, keyed, release, renamed, sliced, with_ids, written
+from sluice.operators.components import components
 
 REGISTERS = 256
 BAND = 6
@@ -172,7 +172,7 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(words)
-        for batch in batches:
+        for batch in sliced(batches):
             n, one, two, registers = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     apart by their texts, and all of a kept component's rows of that id are kept; rows without an id take part, are kept only
     where no row of their component has an id, and come out with the component's smallest id, null if there is none. Further columns are ignored. No rows give an empty result.
     """
-    base = keyed(docs, doc_id, text).select("uid", F.col(doc_id).alias("key"), F.col(text).alias("text"))
+    base = keyed(docs, doc_id, text).select("uid", "key", "text")
     prints, of_class = _judged(base, words, percent, block_shingles)
     whole = prints.where("n > 0").join(of_class, ["one", "two"]).select("key", "n", "component_id")
     out = whole.unionByName(prints.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
@@ -280,19 +280,20 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bl
     """``docs`` with one row of each component: one with its smallest id, of several such that whose text has the smallest
     SHA-256, of rows equal in both the one whose further columns are least. A row without an id stays where no row of its component has one.
     Rows without words are in no component and stay."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    some = docs.withColumn("_null", F.col("text").isNull())
-    base = keyed(some, "doc_id", "text", (*rest, "_null"))
-    prints, of_class = _judged(base.select("uid", F.col("doc_id").alias("key"), "text"), words, percent, block_shingles)
+    some, name = renamed(docs)
+    rest = [c for n, c in name.items() if n not in ("doc_id", "text")]
+    some = some.withColumn("_null", F.col(name["text"]).isNull())
+    base = keyed(some, name["doc_id"], name["text"], (*rest, "_null"))
+    prints, of_class = _judged(base.select("uid", "key", "text"), words, percent, block_shingles)
     prints = prints.where("n > 0")
     gone = written(prints.join(of_class, ["one", "two"]).where("uid != first").select("uid").distinct())
     out = with_ids(base, gone, "uid", "left_anti")
     twice = written(prints.groupBy("uid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("uid"))
     if not twice.isEmpty():  # rows of one id and one text share a uid
-        copies = with_ids(out, twice, "uid", "left_semi").groupBy("uid").agg(F.min(F.struct(*rest, "_null", "doc_id", "text")).alias("row"))
+        copies = with_ids(out, twice, "uid", "left_semi").groupBy("uid").agg(F.min(F.struct(*rest, "_null", "key", "text")).alias("row"))
         out = with_ids(out, twice, "uid", "left_anti").unionByName(copies.select("uid", "row.*"))
-    out = out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).withColumn("text", F.when(~F.col("_null"), F.col("text")))
-    return out.select(*docs.columns)
+    back = {"doc_id": F.col("key").cast(docs.schema["doc_id"].dataType), "text": F.when(~F.col("_null"), F.col("text"))}
+    return out.select(*[back.get(n, F.col(c)).alias(n) for n, c in name.items()])
 
 
 def op6(docs: DataFrame) -> DataFrame:

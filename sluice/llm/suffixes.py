@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import keyed, release, with_ids, written
+from sluice.llm.common import keyed, release, renamed, sliced, with_ids, written
 
 LENGTH = 100
 START = 25
@@ -206,7 +206,7 @@ _SPANS = "uid long, start long, end long"
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         rank, context, text, first, n = anchors([t.encode() for t in batch.column("text").to_pylist()])
         uid = batch.column("uid").to_numpy()[text] if len(text) else text
         yield pa.RecordBatch.from_arrays([pa.array(rank.view(np.int64)), pa.array(context.view(np.int64)), pa.array(uid), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int16))], names=["rank", "context", "uid", "first", "n"])
@@ -360,7 +360,7 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ho
     Null text counts as empty. Null ids come first. Rows of equal id are ordered by the SHA-256 of their texts, and
     rows equal in both are one text: neither is a repeat of the other. Further columns are ignored. No rows give an empty result.
     """
-    base = keyed(docs, doc_id, text).select("uid", F.col(doc_id).alias("key"), F.col(text).alias("text"))
+    base = keyed(docs, doc_id, text).select("uid", "key", "text")
     touched, rest = _with_spans(base, repeated_spans(base, hot_contexts))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,23 +382,26 @@ def suffix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ho
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated strings cut out of ``text`` and n_chars, where there is one, counted anew. Of a character that
     a repeat covers only in part nothing is cut; a text that is all repeats becomes empty and its row stays."""
-    columns = docs.columns
-    keep = tuple(c for c in columns if c not in ("doc_id", "text"))
-    base = keyed(docs, "doc_id", "text", keep)
-    touched, rest = _with_spans(base, repeated_spans(base.select("uid", "text")))
+    some, name = renamed(docs)
+    rest = [c for n, c in name.items() if n not in ("doc_id", "text")]
+    base = keyed(some, name["doc_id"], name["text"], tuple(rest))
+    touched, whole = _with_spans(base, repeated_spans(base.select("uid", "text")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts = []
             for value, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 data = value.encode()
                 texts.append(without(data, whole_characters(data, merged(spans))).decode())
-            out = {c: batch.column(c) for c in columns} | {"text": pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([out[c] for c in columns], names=columns)
-
-    schema = base.select(*columns).schema
-    out = touched.select(*columns, "spans").mapInArrow(cut, schema).unionByName(rest.select(*columns))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+            out = {c: batch.column(c) for c in ("key", *rest)} | {"text": pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+
+    columns = ["key", *rest, "text"]
+    out = touched.select("key", *rest, "text", "spans").mapInArrow(cut, base.select(*columns).schema).unionByName(whole.select(*columns))
+    back = {"doc_id": F.col("key").cast(docs.schema["doc_id"].dataType), "text": F.col("text")}
+    if "n_chars" in name:
+        back["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[back.get(n, F.col(c)).alias(n) for n, c in name.items()])
 
 
 def op5(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.bpe_core import Merger, merger
-from sluice.llm.common import Cache, frequent_words
+from sluice.llm.common import Cache, frequent_words, sliced
 
 TABLE_WORDS = 32_768
 CACHE_WORDS = 300_000
@@ -108,7 +108,7 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", table_words: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = merger(path)
         lengths, special = stretch_lengths(model, TableView(shared.value)), special_pattern(model)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             counts = [count_text(t, lengths, special) if t else 0 for t in texts]
             sizes = [len(t.encode()) if t else 0 for t in texts]

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Cache
+from sluice.llm.common import Cache, sliced
 
 ROWS = 1 << 15
 DIM = 12
@@ -232,7 +232,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFram
             z = np.maximum(pooled(packed >> 32, packed & 0xFFFFFFFF, tables) + model.bias, 0) @ model.out
             return float(1 / (1 + np.exp(-np.clip(z + model.shift[language(words)], -30, 30))))
 
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [score(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             columns = [*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
