@@ -14,10 +14,9 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sluice.llm.common import WORD
+from sluice.llm.common import WORD, renamed, sliced, written
 
 #: Weights of the sources by code point, repeating; the mix's share of all words; the most epochs.
 WEIGHTS = (5, 2, 1)
@@ -88,10 +87,11 @@ def cuts(sized: DataFrame) -> DataFrame:
 
 
 def with_sources(docs: DataFrame, by_source: DataFrame) -> DataFrame:
-    """Adds each source's row: by broadcast while there are few sources, else over salted copies, so that a source
-    with many documents is spread over SALTS tasks."""
+    """Adds each source's row, of a written table: by broadcast while there are few sources, else over salted copies, so that a
+    source with many documents is spread over SALTS tasks."""
+    few = by_source.count() <= BROADCAST_ROWS
     by_source = by_source.withColumnRenamed("source", "_s")
-    if by_source.count() <= BROADCAST_ROWS:
+    if few:
         return docs.join(F.broadcast(by_source), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
     salted = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     docs = docs.withColumn("_salt_of", F.pmod(F.col("_key"), F.lit(SALTS)))
@@ -99,26 +99,49 @@ def with_sources(docs: DataFrame, by_source: DataFrame) -> DataFrame:
     return docs.join(salted, same).drop("_s", "_salt", "_salt_of")
 
 
+def words_in(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+
+
+def identified(docs: DataFrame, doc_id: str, source: str) -> DataFrame:
+    """``docs`` with what places a row: _id, _source, _key."""
+    return docs.select("*", F.col(doc_id).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), key_of(F.col(doc_id)).alias("_key"))
+
+
+def placed(rows: DataFrame, sized: DataFrame) -> DataFrame:
+    """``rows`` (_id, _source, _key, ...) with their source's plan and whether they come before the cut (_before) or at it
+    (_at_cut). ``sized``: (source, key, doc_id, size) of all rows, a written table."""
+    out = with_sources(rows, written(cuts(sized)))
+    none = F.lit(-(2**63))
+    before = (F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & (F.coalesce("_id", none) < F.coalesce("cut_id", none)))
+    at_cut = (F.col("_key") == F.col("cut_key")) & F.col("_id").eqNullSafe(F.col("cut_id"))
+    return out.withColumn("_at_cut", F.coalesce(at_cut, F.lit(False))).withColumn("_before", F.coalesce(before, F.lit(False)))
+
+
+def last_words(size: Column) -> Column:
+    """What the epoch that ends at the cut takes of a placed row."""
+    share = F.floor(size.cast("decimal(20,0)") * F.col("cut_words").cast("decimal(18,0)") / F.col("cut_size")).cast("long")
+    at_cut = F.when(size == F.col("cut_size"), F.col("cut_words")).otherwise(share)
+    return F.when(F.col("_at_cut"), at_cut).when(F.col("_before"), size).otherwise(F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with size, source_size, target and taken: how many of its words the mix takes, repeats counted.
 
     Null text has size 0; a null source is a source of its own, last in the order of weights. Rows that share a
     doc_id within a source (null ids too) are placed together: if the cut falls among them, each is taken to the same
-    share, rounded down. Columns named like a result are replaced, other columns pass through, names that
-    begin with an underscore are reserved. An empty table gives an empty result. Reruns agree: nothing but ids, sources and
-    sizes decides.
+    share, rounded down. Columns named like a result are replaced, other columns pass through. An empty table gives an empty
+    result. Reruns agree: nothing but ids, sources and sizes decides. Texts are read twice: for all sizes, and for the result.
     """
-    names = ("size", "source_size", "target", "taken")
-    docs = docs.drop(*names).withColumn("_source", F.col("source").cast("string")).withColumn("_key", key_of(F.col("doc_id")))
-    docs = docs.withColumn("size", F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long"))
-    sized = docs.select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("doc_id"), "size")
-    out = with_sources(docs, cuts(sized))
-    order = (F.col("_key") < F.col("cut_key")) | ((F.col("_key") == F.col("cut_key")) & (F.coalesce(F.col("doc_id"), F.lit(-(2**63))) < F.coalesce(F.col("cut_id"), F.lit(-(2**63)))))
-    at_cut = (F.col("_key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id"))
-    share = F.floor(F.col("size").cast("decimal(20,0)") * F.col("cut_words").cast("decimal(18,0)") / F.col("cut_size")).cast("long")
-    last = F.when(at_cut, F.when(F.col("size") == F.col("cut_size"), F.col("cut_words")).otherwise(share)).when(order, F.col("size")).otherwise(F.lit(0))
-    out = out.withColumn("taken", (F.col("epochs") * F.col("size") + last).cast("long"))
-    return out.drop("_source", "_key", "epochs", "rest", "cut_key", "cut_id", "cut_size", "cut_words")
+    some, name = renamed(docs)
+    rows = identified(some, name["doc_id"], name["source"]).withColumn("_size", words_in(F.col(name[text])))
+    out = placed(rows, sizes_of(rows))
+    results = {"size": F.col("_size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": F.col("epochs") * F.col("_size") + last_words(F.col("_size"))}
+    return out.select(*[F.col(c).alias(n) for n, c in name.items() if n not in results], *[c.alias(n) for n, c in results.items()])
+
+
+def sizes_of(rows: DataFrame) -> DataFrame:
+    return written(rows.select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_id").alias("doc_id"), F.col("_size").alias("size")))
 
 
 def first_words(value: str, n: int) -> str:
@@ -132,29 +155,34 @@ def first_words(value: str, n: int) -> str:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document is repeated for every whole epoch, and the one where a
-    source's budget ends appears once more up to the cut; its n_chars is counted anew. What the mix takes nothing of is left out."""
-    columns = docs.columns
-    out = mix(docs)
-    whole = out.withColumn("_copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int"))
-    repeated = whole.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
-    part = whole.withColumn("_part", F.col("taken") - F.col("_copies") * F.col("size")).where("_part > 0")
+    """The mix itself, with the columns of ``docs``, whatever their names: a document is repeated for every whole epoch, and the
+    one where a source's budget ends appears once more up to the cut; its n_chars is counted anew. What the mix takes nothing of is left out."""
+    some, name = renamed(docs)
+    rows, text, columns = identified(some, name["doc_id"], name["source"]), name["text"], list(name.values())
+    out = placed(rows, sizes_of(rows.withColumn("_size", words_in(F.col(text)))))
+    copies = (F.col("epochs") + F.when(F.col("_before"), 1).otherwise(0)).cast("int")
+    repeated = out.withColumn("_copies", copies).where("_copies > 0").where(F.rlike(F.coalesce(text, F.lit("")), F.lit(WORD)))
+    repeated = repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    # one unit of a source at most is cut; only its rows are counted again. If the cut takes it whole it is one more copy
+    part = out.where("_at_cut").withColumn("_part", last_words(words_in(F.col(text)))).where("_part > 0")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [dict(zip(batch.schema.names, r, strict=True)) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            for r in rows:
-                r["text"] = first_words(r["text"], r["_part"])
-                if "n_chars" in r:
-                    r["n_chars"] = len(r["text"])
-            yield pa.RecordBatch.from_pylist([{c: r[c] for c in columns} for r in rows], schema=pa.schema([batch.schema.field(c) for c in columns]))
+        for batch in sliced(batches):
+            texts = [first_words(t, n) for t, n in zip(batch.column(text).to_pylist(), batch.column("_part").to_pylist(), strict=True)]
+            held = {c: batch.column(c) for c in columns} | {text: pa.array(texts, pa.string())}
+            if "n_chars" in name:
+                held[name["n_chars"]] = pa.array([len(t) for t in texts]).cast(batch.schema.field(name["n_chars"]).type)
+            yield pa.RecordBatch.from_arrays(list(held.values()), names=list(held))
 
-    schema = T.StructType([f for f in docs.schema.fields])
-    return repeated.unionByName(part.select(*columns, "_part").mapInArrow(cut, schema))
+    return repeated.unionByName(part.select(*columns, "_part").mapInArrow(cut, some.schema)).toDF(*docs.columns)
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    return mix(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    """The contract's columns: texts are read once, for their sizes."""
+    rows = identified(docs.select("doc_id", "source", words_in(F.col("text")).alias("_size")), "doc_id", "source")
+    rows = written(rows)
+    out = placed(rows, rows.select(F.col("_source").alias("source"), F.col("_key").alias("key"), F.col("_id").alias("doc_id"), F.col("_size").alias("size")))
+    return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("epochs") * F.col("_size") + last_words(F.col("_size"))).alias("taken"))
 
 
 ORACLE = f"""
