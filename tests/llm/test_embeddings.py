@@ -29,19 +29,19 @@ def test_query_equals_oracle(spark):
     same_rows(queries.op4_embeddings(spark, sf), oracle(sf, embeddings.ORACLE, "embeddings"))
 
 
-@pytest.mark.parametrize("leaf", [512, 40])
-def test_groups_and_odd_vectors(spark, leaf):
+@pytest.mark.parametrize("leaf, most", [(512, 2048), (40, 2048), (512, 50), (40, 20)])
+def test_groups_and_odd_vectors(spark, leaf, most):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((12, 16))
     rows = [(i, [float(np.float32(x)) for x in base[i % 12] + rng.standard_normal(16) * rng.choice([0.02, 0.1, 0.2])]) for i in range(400)]
     rows += [(1000 + i, rows[3][1]) for i in range(60)] + [(2000, [0.0] * 16), (2001, None), (2002, [float("nan")] * 16), (2003, []), (2004, [1.0, None]), (2005, [1.0, 2.0]), (2006, [2.0, 4.0]), (2007, [1e200, 2e200]), (None, [1.0, 2.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(table, sample=300, leaf=leaf).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(table, sample=300, leaf=leaf, most=most).collect()}
     want = {i: (n, c) for i, n, c in brute(rows)}
     assert set(got) == set(want) and got[None] == (0, None, True)
     found, all_ = (sum(x[i][0] for i in want) for x in (got, want))
     assert found <= all_ and found >= (0.9 if leaf == 40 else 1.0) * all_
-    if leaf == 512:
+    if leaf == 512:  # one leaf holds all, as pairs of chunks if it is too large
         assert {i: g[:2] for i, g in got.items()} == want
     assert all(g[2] == (g[1] == i) for i, g in got.items() if i is not None)
     assert embeddings.near_duplicates(table.limit(0)).collect() == []
@@ -59,15 +59,31 @@ def test_recall_against_brute_force_at_the_threshold():
     a = rng.standard_normal((3000, 64))
     b = a[:1500] + 0.48 * rng.standard_normal((1500, 64))  # cosine around 0.9
     x = embeddings.unit_rows(np.vstack([a, b]))
-    trees = embeddings.fit_forest([v for v in x[::3]], len(x), 0.9, leaf=128)[64]
-    member = [[set() for _ in range(len(x))] for _ in trees]
-    for t, tree in enumerate(trees):
-        for node, rows in tree.leaves(x):
-            for r in rows:
-                member[t][r].add(node)
+    member = [set() for _ in range(len(x))]
+    for leaf, rows in embeddings.fit_forest([v for v in x[::3]], len(x), 0.9, leaf=128).leaves(x):
+        for r in rows:
+            member[r].add(leaf)
     pairs = [(i, 3000 + i) for i in range(1500) if x[i] @ x[3000 + i] >= 0.9]
     assert len(pairs) > 300
-    assert sum(any(m[i] & m[j] for m in member) for i, j in pairs) >= 0.95 * len(pairs)
+    assert sum(bool(member[i] & member[j]) for i, j in pairs) >= 0.95 * len(pairs)
+
+
+def test_large_leaves_are_split_on_their_own_rows(spark):
+    rng = np.random.default_rng(9)
+    a = rng.standard_normal((4000, 24))
+    x = embeddings.unit_rows(np.vstack([a, a[:600] + 0.4 * rng.standard_normal((600, 24)), np.tile(a[:1], (300, 1)) + 0.01 * rng.standard_normal((300, 24))]))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(table, sample=60, leaf=64, most=256).collect()}
+    near = x @ x.T >= 0.9
+    want = near.sum(axis=1) - 1
+    assert all(got[i]["n_links"] <= want[i] for i in range(len(x))) and sum(got[i]["n_links"] for i in range(len(x))) >= 0.95 * want.sum()
+    # the sample of 60 alone gives leaves of a quarter of all
+    forest = spark.sparkContext.broadcast(embeddings.fit_forest([v for v in x[:60]], len(x), 0.9, leaf=64))
+    classes = table.selectExpr("vec_id AS id", "embedding AS v")
+    large = embeddings.large_leaves(classes, forest, 256)
+    more = forest.value.grafted(embeddings.subtrees(classes, forest, large, 0.9, 64, embeddings.SPILL))
+    assert len(more.keys) > 4 * len(forest.value.keys) and sum(large.values()) > len(x)
+    assert np.median([len(rows) for _, rows in more.leaves(x)]) < 100
 
 
 def test_components(spark):
