@@ -2,8 +2,8 @@
 
 Every document's set of word shingles is hashed once; each of REGISTERS buckets stores the leading zeros of its smallest
 hash and some mantissa bits after them. Buckets that no shingle falls into borrow from others, by a fixed order of their own. Compressed registers
-are banded to find candidates; candidates come together in blocks, where the collision-corrected estimate of the Jaccard
-similarity passes pairs on to a comparison of the full sets. Pairs that are already connected need no comparison.
+are banded to find candidates. Within a band, the collision-corrected estimate of the Jaccard similarity links sketches; what
+these links connect is a block, in which pairs that pass the estimate are compared by their full sets. Pairs that are already connected need no comparison.
 """
 
 from __future__ import annotations
@@ -16,16 +16,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import Cache, keyed, release, renamed, sliced, with_ids, written
+from sluice.llm.common import Cache, drop, keyed, release, renamed, sliced, with_ids, written
 from sluice.operators.components import components
+from sluice.operators.joins import join_back
 
 REGISTERS = 256
 BAND = 6
 MANTISSA = 10
 WORDS = 5
 PERCENT = 80
-#: Pairs whose estimate is this many standard deviations below the threshold aren't compared in full.
-SLACK = 5.0
+#: The greatest standard deviation of the estimate that was measured at a similarity of 0.8, over set sizes from 5 to 5000
+#: (sqrt(0.8 * 0.2 / REGISTERS) = 0.025 where buckets don't borrow). Pairs further below the threshold aren't compared in full.
+SPREAD = 0.033
+SLACK = 5 * SPREAD
+#: Rows of a band that are compared in one task; larger bands are dealt out as pairs of chunks.
+BAND_ROWS = 16_384
 #: A block whose sets hold more shingles than this is dealt out as pairs of chunks.
 BLOCK_SHINGLES = 4_000_000
 #: Ids are broadcast, as a filter, up to so many; beyond, a shuffle does the same.
@@ -99,6 +104,11 @@ def estimate(equal: np.ndarray) -> np.ndarray:
     return np.maximum(0, (equal / REGISTERS - chance) / (1 - chance))
 
 
+def passing(percent: int) -> np.ndarray:
+    """For each number of equal registers whether the estimate lets a pair through."""
+    return estimate(np.arange(REGISTERS + 1)) >= percent / 100 - SLACK
+
+
 def bands(registers: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of each row of registers."""
     n = REGISTERS // BAND
@@ -113,14 +123,30 @@ def linked(a: int, b: int, common: np.ndarray | int, percent: int) -> np.ndarray
     return 100 * common >= percent * (a + b - common)
 
 
-class Forest:
-    def __init__(self, n: int) -> None:
-        self.parent = list(range(n))
+def likely(i: int, label: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int, group: np.ndarray | None, passes: np.ndarray) -> np.ndarray:
+    """The later rows of other components (and groups) whose sizes and estimates allow a link with row ``i``."""
+    later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+    later = later[linked(sizes[i], sizes[later], np.minimum(sizes[i], sizes[later]), percent)]
+    if group is not None:
+        later = later[group[later] != group[i]]
+    return later[passes[(sketches[later] == sketches[i]).sum(axis=1)]] if len(later) else later
+
+
+def unite(label: np.ndarray, i: int, others: np.ndarray) -> None:
+    """Labels are flat: every row carries its component's least index."""
+    joined = np.unique(np.append(label[others], label[i]))
+    label[np.isin(label, joined)] = joined[0]
+
 
-    def find(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = x = self.parent[self.parent[x]]
-        return x
+def join_sketches(sizes: np.ndarray, sketches: np.ndarray, percent: int, group: np.ndarray | None = None) -> np.ndarray:
+    """The local component, as the least index, of each row by estimates alone; a row is held against all later rows that aren't
+    connected with it yet. With ``group``, only pairs of different groups are compared."""
+    label, passes = np.arange(len(sizes)), passing(percent)
+    for i in range(len(sizes) - 1):
+        others = likely(i, label, sizes, sketches, percent, group, passes)
+        if len(others):
+            unite(label, i, others)
+    return label
 
 
 def join_block(sets: list[np.ndarray], sketches: np.ndarray, percent: int, group: np.ndarray | None = None) -> np.ndarray:
@@ -132,23 +158,12 @@ def join_block(sets: list[np.ndarray], sketches: np.ndarray, percent: int, group
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), sizes)
-    local = np.unique(flat, return_inverse=True)[1]
+    local = np.unique(np.concatenate(sets), return_inverse=True)[1]
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    mark = np.zeros(len(flat) + 1, bool)
-    j0 = percent / 100
-    least = (j0 - SLACK * np.sqrt(j0 * (1 - j0) / REGISTERS)) * (1 - 1 / 2**MANTISSA) * REGISTERS
-    label = np.arange(m)  # kept flat: every row carries its component's least index
-    del owner
+    mark = np.zeros(len(local) + 1, bool)
+    label, passes = np.arange(m), passing(percent)
     for i in range(m - 1):
-        later = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        # sizes bound the similarity
-        later = later[linked(sizes[i], sizes[later], np.minimum(sizes[i], sizes[later]), percent)]
-        if group is not None:
-            later = later[group[later] != group[i]]
-        if not len(later):
-            continue
-        later = later[(sketches[later] == sketches[i]).sum(axis=1) >= least]
+        later = likely(i, label, sizes, sketches, percent, group, passes)
         if not len(later):
             continue
         mine = local[starts[i] : starts[i + 1]]
@@ -161,8 +176,7 @@ def join_block(sets: list[np.ndarray], sketches: np.ndarray, percent: int, group
             common = np.add.reduceat(mark[local[at]].astype(np.int64), ends - n)
             hit = some[linked(sizes[i], n, common, percent)]
             if len(hit):
-                joined = np.unique(np.append(label[hit], label[i]))
-                label[np.isin(label, joined)] = joined[0]
+                unite(label, i, hit)
         mark[mine] = False
     return label
 
@@ -187,9 +201,9 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "uid long, key long, n long, one long, two long, sketch binary")
 
 
-def candidate_blocks(classes: DataFrame) -> DataFrame:
-    """(uid, block): classes that share a band, directly or through others. Every row of a band is linked with the
-    band's least class, which is found by a minimum that is combined before the shuffle."""
+def candidate_blocks(classes: DataFrame, percent: int) -> DataFrame:
+    """(uid, block): classes that estimates connect. Classes that share a band come together with their sketches, once
+    for all bands that have the same classes; a band of more than BAND_ROWS is dealt out as pairs of chunks."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,9 +213,36 @@ def candidate_blocks(classes: DataFrame) -> DataFrame:
                 uid = np.repeat(batch.column("uid").to_numpy(), found.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(found.ravel().view(np.int64)), pa.array(uid)], names=["band", "uid"])
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks, uid = batch.column("chunks").to_numpy(), batch.column("uid").to_numpy()
+            row = np.repeat(np.arange(len(chunks)), chunks)
+            own, other = uid[row] % chunks[row], np.arange(len(row)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+            for lo in range(0, len(row), 20_000):
+                r, o, p = (c[lo : lo + 20_000] for c in (row, own, other))
+                dealt = [batch.column(c).take(pa.array(r)) for c in ("band", "uid", "n", "sketch")]
+                yield pa.RecordBatch.from_arrays([*dealt, pa.array(np.minimum(o, p)), pa.array(np.maximum(o, p)), pa.array(o)], names=["band", "uid", "n", "sketch", "x", "y", "chunk"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("uid")
+        uid, chunk, sizes = (group.column(c).to_numpy() for c in ("uid", "chunk", "n"))
+        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        label = join_sketches(sizes, sketches, percent, chunk if group.column("x")[0].as_py() != group.column("y")[0].as_py() else None)
+        other = label != np.arange(len(uid))
+        return pa.table({"a": uid[other], "b": uid[label[other]]})
+
     rows = classes.select("uid", "sketch").mapInArrow(keys, "band long, uid long")
-    least = rows.groupBy("band").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).where("first < last").select("band", "first")
-    return components(rows.join(least, "band").where("uid != first").select("uid", "first"), "uid", "first").select(F.col("node").alias("uid"), F.col("component").alias("block"))
+    figures = [F.min("uid").alias("first"), F.max("uid").alias("last"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("uid")).alias("members")]
+    shared = rows.groupBy("band").agg(*figures).where("c > 1")
+    shared = written(shared.groupBy("first", "last", "c", "members").agg(F.min("band").alias("band")).select("band", "c", F.ceil(F.col("c") / F.lit(BAND_ROWS)).cast("long").alias("chunks")))
+    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    members = written(join_back(rows, shared, ["band"], total))
+    drop(shared)
+    dealt = members.join(classes.select("uid", "n", "sketch"), "uid").select("band", "uid", "n", "sketch", "chunks")
+    dealt = dealt.mapInArrow(deal, "band long, uid long, n long, sketch binary, x long, y long, chunk long")
+    links = written(dealt.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct())
+    drop(members)
+    return components(links).select(F.col("node").alias("uid"), F.col("component").alias("block"))
 
 
 def confirmed_links(docs: DataFrame, classes: DataFrame, blocks: DataFrame, words: int, percent: int, block_shingles: int) -> DataFrame:
@@ -251,29 +292,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     where no row of their component has an id, and come out with the component's smallest id, null if there is none. Further columns are ignored. No rows give an empty result.
     """
     base = keyed(docs, doc_id, text).select("uid", "key", "text")
-    prints, of_class = _judged(base, words, percent, block_shingles)
-    whole = prints.where("n > 0").join(of_class, ["one", "two"]).select("key", "n", "component_id")
+    prints, of_class, total = _judged(base, words, percent, block_shingles)
+    whole = join_back(prints.where("n > 0").select("one", "two", "uid", "key", "n"), of_class, ["one", "two"], total).select("key", "n", "component_id")
     out = whole.unionByName(prints.where("n = 0").select("key", "n", F.col("key").alias("component_id")))
     return out.select(F.col("key").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("key").eqNullSafe(F.col("component_id")), F.lit(True)).alias("kept"))
 
 
-def _judged(base: DataFrame, words: int, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+def _judged(base: DataFrame, words: int, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame, int]:
     """The fingerprints of ``base``, as ``keyed``, and for each set of shingles (one, two) its component's smallest id and first row,
-    (component_id, first): the uid of a row with that id or, where no row has an id, of any."""
+    (c, component_id, first): its rows, and the uid of a row with that id or, where no row has an id, of any; last, the number of rows with shingles."""
     spark = base.sparkSession
     prints = written(fingerprints(base, words))
     row = F.struct(F.col("key").isNull().alias("nameless"), F.col("uid"))
-    classes = prints.where("n > 0").groupBy("one", "two").agg(F.min("uid").alias("uid"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("key").alias("key"), F.min(row).alias("row"))
+    classes = prints.where("n > 0").groupBy("one", "two").agg(F.min("uid").alias("uid"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.min("key").alias("key"), F.min(row).alias("row"), F.count(F.lit(1)).alias("c"))
     classes = written(classes)
     release(spark)
-    blocks = written(candidate_blocks(classes))
+    blocks = written(candidate_blocks(classes, percent))
     release(spark)
     links = written(confirmed_links(base, classes, blocks, words, percent, block_shingles))
+    drop(blocks)
     joined = components(links).withColumnRenamed("node", "uid")
     release(spark)
-    of_class = classes.join(joined, "uid", "left").select("one", "two", "key", "row", F.coalesce("component", "uid").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("key").alias("component_id"), F.min("row").alias("row"))
-    return prints, of_class.drop("row").join(least, "component").select("one", "two", "component_id", F.col("row.uid").alias("first"))
+    of_class = written(classes.join(joined, "uid", "left").select("one", "two", "key", "row", "c", F.coalesce("component", "uid").alias("component")))
+    drop(classes, links)
+    least = of_class.groupBy("component").agg(F.min("key").alias("component_id"), F.min("row").alias("row"), F.sum("c").alias("rows"))
+    least = written(least.select("component", "component_id", F.col("row.uid").alias("first"), "rows"))
+    total = least.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    of_class = written(join_back(of_class.select("one", "two", "c", "component"), least, ["component"], total, "rows").select("one", "two", "c", "component_id", "first"))
+    drop(least)
+    return prints, of_class, total
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -284,9 +331,9 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bl
     rest = [c for n, c in name.items() if n not in ("doc_id", "text")]
     some = some.withColumn("_null", F.col(name["text"]).isNull())
     base = keyed(some, name["doc_id"], name["text"], (*rest, "_null"))
-    prints, of_class = _judged(base.select("uid", "key", "text"), words, percent, block_shingles)
-    prints = prints.where("n > 0")
-    gone = written(prints.join(of_class, ["one", "two"]).where("uid != first").select("uid").distinct())
+    prints, of_class, total = _judged(base.select("uid", "key", "text"), words, percent, block_shingles)
+    prints = prints.where("n > 0").select("one", "two", "uid")
+    gone = written(join_back(prints, of_class, ["one", "two"], total).where("uid != first").select("uid").distinct())
     out = with_ids(base, gone, "uid", "left_anti")
     twice = written(prints.groupBy("uid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("uid"))
     if not twice.isEmpty():  # rows of one id and one text share a uid
@@ -299,3 +346,21 @@ def deduplicated(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bl
 def op6(docs: DataFrame) -> DataFrame:
     """The contract of the query: four-word shingles."""
     return near_duplicates(docs, words=4)
+
+
+#: Sets of shingles as lists, compared pair by pair where they share a shingle.
+ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END AS shingles FROM w),
+g AS MATERIALIZED (SELECT shingles, min(doc_id) AS doc_id FROM (SELECT doc_id, list_sort(shingles) AS shingles FROM s WHERE len(shingles) > 0) GROUP BY shingles),
+u AS MATERIALIZED (SELECT doc_id, unnest(shingles) AS shingle, len(shingles) AS n FROM g),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM g UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(c.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(c.component_id, s.doc_id) AS kept
+FROM s LEFT JOIN g ON list_sort(s.shingles) = g.shingles LEFT JOIN c ON g.doc_id = c.node
+"""

@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op4_embeddings": embeddings.ORACLE, "op9_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_mixing": mixing.ORACLE, "op4_embeddings": embeddings.ORACLE, "op6_minhash": minhash.ORACLE, "op9_chat": chat.ORACLE}

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from sluice.llm import minhash, queries
+from tests.llm.helpers import oracle, same_rows
 
 
 def brute(rows, words, percent):
@@ -48,6 +49,7 @@ def family(rng, n, size, edits):
 def test_families_copies_and_odd_texts(spark, block, monkeypatch):
     if block == 300:
         monkeypatch.setattr(minhash, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(minhash, "BAND_ROWS", 5)
     rng = np.random.default_rng(4)
     texts = [t for size in (4, 6, 9, 30, 120) for t in family(rng, 24, size, max(1, size // 12))]
     texts += ["One  two\x0bTHREE", "one two three", "one two", "", " \n", None, "é a b c d", "É a b c d", "one two three"]
@@ -60,7 +62,18 @@ def test_families_copies_and_odd_texts(spark, block, monkeypatch):
 
 def test_query_equals_brute_force(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert got(queries.op6_minhash(spark, sf)) == brute(rows, 4, 80)
+    found = queries.op6_minhash(spark, sf)
+    assert got(found) == brute(rows, 4, 80)
+    same_rows(found, oracle(sf, minhash.ORACLE, "documents"))
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i * 7919 % 50_000}" for i in range(60_000)]
+    near, far = list(words), list(words)
+    near[::50] = ["x"] * len(near[::50])
+    far[::10] = ["y"] * len(far[::10])
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "z" * 2_000_000)]
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4)) == brute(rows, 4, 80)
 
 
 def test_empty_table(spark):
@@ -87,3 +100,28 @@ def test_join_block_compares_sets_in_full():
     sketches = np.stack([minhash.sketch(s) for s in sets])
     assert minhash.join_block(sets, sketches, 80).tolist() == [0, 0, 0, 3, 0]
     assert minhash.join_block(sets, sketches, 80, np.array([0, 0, 1, 1, 1])).tolist() == [0, 1, 0, 3, 1]
+
+
+def test_estimates_prune_no_link():
+    """Pairs at the threshold, over set sizes: none is further below it than SLACK, and the spread is what SPREAD says."""
+    rng = np.random.default_rng(3)
+    for n in (5, 10, 45, 180, 900, 5000):
+        errors = []
+        for _ in range(200):
+            u = rng.integers(0, 2**63, n).astype(np.uint64)
+            c = int(np.ceil(0.8 * n))
+            a, b = np.sort(u[: c + (n - c) // 2]), np.sort(np.concatenate([u[:c], u[c + (n - c) // 2 :]]))
+            equal = (minhash.sketch(a) == minhash.sketch(b)).sum()
+            errors.append(minhash.estimate(equal) - c / n)
+            assert minhash.passing(80)[equal]
+        assert np.std(errors) < 1.1 * minhash.SPREAD
+
+
+def test_join_sketches_connects_by_estimates():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, (3, 300)).astype(np.uint64)
+    sets = [np.sort(np.concatenate([base[i % 3][20:], rng.integers(0, 2**63, 20).astype(np.uint64)])) for i in range(12)]
+    sketches, sizes = np.stack([minhash.sketch(s) for s in sets]), np.array([len(s) for s in sets])
+    assert minhash.join_sketches(sizes, sketches, 80).tolist() == [0, 1, 2] * 4
+    assert minhash.join_sketches(sizes, sketches, 80, np.arange(12) // 3).tolist() == [0, 1, 2] * 4
+    assert minhash.join_sketches(sizes, sketches, 80, np.zeros(12, int)).tolist() == list(range(12))
