@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import keyed, release, renamed, sliced, with_ids, written
+from sluice.llm.common import BROADCAST_IDS, drop, keyed, release, renamed, sliced, with_ids, written
+from sluice.operators.joins import join_back
 
 LENGTH = 100
 START = 25
@@ -281,42 +282,57 @@ def repeated_spans(base: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     """(uid, spans): for each text with any, the bytes covered by strings that also start earlier, as sorted spans
     that may overlap or touch. ``base``: (uid, text) with unique uids whose order decides what is earlier.
 
-    Ranks are counted by minima and maxima that are combined before the shuffle; the joins that bring them back to the
-    positions are left to Spark to split where a rank is very frequent.
+    Ranks are counted by minima and maxima that are combined before the shuffle; ``join_back`` brings them back to the
+    positions and deals out the rows of a very frequent rank. Tables are deleted as soon as the next one is written.
     """
     spark = base.sparkSession
-    place = F.struct("uid", "first")
+    place, one = F.struct("uid", "first"), F.count(F.lit(1)).alias("c")
     found = base.select("uid", "text").mapInArrow(_find_anchors, "rank long, context long, uid long, first int, n short")
-    shared = found.groupBy("rank").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("lo"), F.max("context").alias("hi"), F.min(place).alias("earliest")).where("c > 1").drop("c")
-    rows = found.join(shared, "rank").where((F.col("lo") < F.col("hi")) | (place != F.col("earliest")))
+    shared = found.groupBy("rank").agg(one, F.min("context").alias("lo"), F.max("context").alias("hi"), F.min(place).alias("earliest")).where("c > 1")
+    shared = written(shared)
+    release(spark)
+    rows = join_back(found, shared, ["rank"], _total(shared)).where((F.col("lo") < F.col("hi")) | (place != F.col("earliest")))
     rows = written(rows.select("rank", "context", "uid", "first", "n", (F.col("lo") < F.col("hi")).alias("mixed")))
+    drop(shared)
     del found, shared
     release(spark)
     span = [F.col("uid"), F.col("first").cast("long").alias("start"), (F.col("first") + F.col("n") - 1 + LENGTH).cast("long").alias("end")]
     mixed = rows.where("mixed").drop("mixed")
-    firsts = mixed.groupBy("rank", "context").agg(F.min(place).alias("earliest"))
-    mixed = mixed.join(firsts, ["rank", "context"]).withColumn("again", place != F.col("earliest"))
+    firsts = written(mixed.groupBy("rank", "context").agg(one, F.min(place).alias("earliest")))
+    mixed = join_back(mixed, firsts, ["rank", "context"], _total(firsts)).withColumn("again", place != F.col("earliest"))
     mixed = written(mixed.select("rank", "uid", "first", "n", "again"))
+    drop(firsts)
     firsts = mixed.where("NOT again")
-    hot = firsts.groupBy("rank").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot_contexts).select("rank", F.lit(True).alias("hot"))
-    firsts = firsts.join(hot, "rank", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    hot = written(firsts.groupBy("rank").agg(one).where(F.col("c") > hot_contexts).select("rank", F.lit(True).alias("hot")))
+    some_hot = hot.count()
+    firsts = firsts.join(F.broadcast(hot) if some_hot <= BROADCAST_IDS else hot, "rank", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     listed = written(firsts.groupBy("uid").agg(F.collect_list(F.struct("rank", "hot", "first", "n")).alias("listed")))
     release(spark)
     texts = with_ids(base.select("uid", "text"), listed.select("uid"), "uid", "left_semi")
     contexts = texts.join(listed, "uid").mapInArrow(_contexts, "rank long, hot boolean, uid long, first long, data binary")
     contexts = written(contexts)
+    drop(listed, hot)
     release(spark)
     inside = contexts.where("NOT hot").drop("hot").repartition("rank").sortWithinPartitions("rank", "uid", "first").mapInArrow(_rank_stretches, _SPANS)
-    strings = contexts.where("hot").mapInArrow(_names, "x long, y long, uid long, at long")
-    where = F.struct("uid", "at")
-    strings = strings.join(strings.groupBy("x", "y").agg(F.min(where).alias("earliest")), ["x", "y"]).where(where != F.col("earliest"))
     spans = rows.where("NOT mixed").select(*span).unionByName(mixed.where("again").select(*span)).unionByName(inside)
-    spans = spans.unionByName(strings.select("uid", "at").mapInArrow(_join_runs, _SPANS))
+    held = [rows, mixed, contexts]
+    if some_hot:
+        strings = written(contexts.where("hot").mapInArrow(_names, "x long, y long, uid long, at long"))
+        where = F.struct("uid", "at")
+        least = written(strings.groupBy("x", "y").agg(one, F.min(where).alias("earliest")).where("c > 1"))
+        strings_again = join_back(strings, least, ["x", "y"], _total(least)).where(where != F.col("earliest"))
+        spans = spans.unionByName(strings_again.select("uid", "at").mapInArrow(_join_runs, _SPANS))
+        held += [strings, least]
     out = written(spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
+    drop(*held)
     release(spark)
     return out
 
 
+def _total(groups: DataFrame) -> int:
+    return groups.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+
+
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
     """Maximal runs of sorted spans."""
     out: list[tuple[int, int]] = []

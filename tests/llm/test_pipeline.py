@@ -69,6 +69,24 @@ def test_near_duplicates_go_by_row(spark, sf):
     assert (9, c, "en", "s", 5) not in got and (5, "", None, None, None) in got and (6, None, None, None, None) in got
 
 
+CLASHES = ("uid", "key", "digest", "size", "source_size", "target", "taken", "score", "n_words", "kept", "spans", "n", "one", "block", "c1", "_source", "_key", "_text", "_id", "label")
+
+
+def test_columns_of_any_name_pass_through(spark, sf):
+    prose = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").orderBy("doc_id").limit(30).collect()]
+    rows = [(i % 29 if i != 7 else None, t, "en", f"s{i % 2}", len(t), *(f"{c}-{i}" for c in CLASHES)) for i, t in enumerate(prose)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    known = {r[5:] for r in rows}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        done = stage(spark, docs, sf)
+        assert done.columns == docs.columns and done.dtypes == docs.dtypes
+        found = done.collect()
+        assert found and {tuple(r)[5:] for r in found} <= known
+        assert all(r["lang"] == "en" and r["source"] in ("s0", "s1") for r in found)
+        docs = spark.createDataFrame(found, docs.schema)
+
+
 def test_odd_rows_and_empty_tables(spark, sf):
     text = " ".join(f"word{i}" for i in range(40))
     rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (None, text + " x", None, None, None), (None, None, None, None, None), (2, "", "", "", 0), (3, text, "en", "b", 5)]

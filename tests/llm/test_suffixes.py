@@ -69,6 +69,15 @@ def test_query_equals_brute_force(spark, sf):
     assert got(queries.op5_suffixes(spark, sf)) == brute(rows)
 
 
+def test_text_longer_than_a_piece(spark):
+    rng = np.random.default_rng(12)
+    body = rng.integers(97, 123, suffixes.PIECE + 150_000).astype(np.uint8).tobytes().decode()
+    passage = body[500:700]
+    rows = [(1, body + passage + body[: 2 * suffixes.PIECE // 1000] + "é"), (2, body[-90_000:]), (3, "short"), (4, "q" + passage[:120])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(suffixes.suffix_dedup(docs)) == brute(rows)
+
+
 def test_stretches_and_doubling():
     import pyarrow as pa
 
