@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import bpe, minhash, mixing, quality, suffixes
-from sluice.llm.common import table, written
+from sluice.llm.common import drop, renamed, table, written
 from sluice.llm.queries import tokenizer
 
 #: No SQL: the stages hash, sketch and encode. tests/llm/test_pipeline.py holds each against a brute-force version.
@@ -19,8 +19,10 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the plain rules or score below the threshold go. Each row is judged by itself, whatever its id."""
-    judged = quality.quality(docs.withColumn("_kept_text", F.col("text")), table(spark, sf_dir, "labels"), text="_kept_text")
-    return judged.where("kept").select(*docs.columns)
+    some, name = renamed(docs)
+    named = some.select("*", F.col(name["doc_id"]).alias("doc_id"), F.col(name["text"]).alias("text"))
+    judged = quality.quality(named, table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*name.values()).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +59,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs)
+            done = written(done)
+            drop(docs)
+        docs = done
     return docs
