@@ -33,8 +33,10 @@ relation("eval_binary", "SELECT count_if(p >= 0.5 AND y = 1) AS tp, count_if(p >
 relation("brier", "SELECT round(avg((p - y) * (p - y)), 7) AS brier FROM scored_truth")
 relation("ece_bins", "SELECT CASE WHEN p <= 0 THEN 1 ELSE CAST(ceil(p * 10) AS BIGINT) END AS bin, count(*) AS n, avg(p) AS conf, avg(CAST(y AS DOUBLE)) AS acc FROM scored_truth GROUP BY CASE WHEN p <= 0 THEN 1 ELSE CAST(ceil(p * 10) AS BIGINT) END")
 relation("ece", "SELECT round(sum(n * abs(conf - acc)) / sum(n), 7) AS ece FROM ece_bins")
-relation("freeze_tier", "SELECT count(*) AS n, coalesce(CAST(sum(y) AS BIGINT), 0) AS hits FROM scored_truth WHERE p >= 0.7")
-relation("auc_ranks", "SELECT z.wallet, i.illicit, rank() OVER (ORDER BY z.total_in) + (count(*) OVER (PARTITION BY z.total_in) - 1) / CAST(2 AS DOUBLE) AS r FROM standardize z JOIN illicit_wallets i ON z.wallet = i.wallet")
+relation("freeze_tier", "SELECT count(*) AS n, coalesce(CAST(sum(y) AS BIGINT), 0) AS hits FROM scored_truth WHERE p >= 0.9")
+relation("known_totals", "SELECT z.wallet, z.total_in, i.illicit FROM standardize z JOIN illicit_wallets i ON z.wallet = i.wallet")
+relation("total_ranks", "SELECT wallet, total_in, illicit, row_number() OVER (ORDER BY total_in, wallet) AS n FROM known_totals")
+relation("auc_ranks", "SELECT wallet, illicit, avg(n) OVER (PARTITION BY total_in) AS r FROM total_ranks")
 relation("univariate_auc", "SELECT round(greatest(a, 1 - a), 7) AS auc FROM (SELECT (sum(CASE WHEN illicit = 1 THEN r ELSE 0 END) - n1 * (n1 + 1) / CAST(2 AS DOUBLE)) / (CAST(n1 AS DOUBLE) * n0) AS a FROM auc_ranks CROSS JOIN (SELECT count_if(illicit = 1) AS n1, count_if(illicit = 0) AS n0 FROM auc_ranks) c GROUP BY n1, n0) x")
 relation("missed", "SELECT t.wallet, t.entity_type FROM truth t JOIN final_scores f ON t.wallet = f.wallet WHERE t.is_illicit AND f.tier NOT IN ('CRITICAL', 'HIGH')")
 relation("gap_diag_peel", "SELECT CASE WHEN h.src IS NOT NULL THEN 'hop, chain too short' WHEN s.wallet IS NULL THEN 'never spent' WHEN p.first_input IS NULL THEN 'no single-input spend' ELSE 'spend forms no hop' END AS bucket, count(DISTINCT m.wallet) AS n FROM missed m LEFT JOIN find_peel_hops h ON m.wallet = h.src LEFT JOIN ever_spent s ON m.wallet = s.wallet LEFT JOIN (SELECT DISTINCT first_input FROM tx_shape WHERE n_in = 1) p ON m.wallet = p.first_input WHERE m.entity_type LIKE 'peeling%' GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -104,6 +104,38 @@ def trails(edges: DataFrame, target: str, longest: int = 5) -> DataFrame:
     return out.select(F.array_join("nodes", "|").alias("nodes"), (F.size("nodes") - 1).cast("long").alias("n_hops"))
 
 
+def longest_trails(edges: DataFrame, target: str, longest: int = 5, top: int = 10, beam: int = 1000) -> DataFrame:
+    """(nodes, n_hops): the ``top`` longest of the ``trails`` to ``target``; of equally long ones those whose edges, from the target
+    back, have the smaller seqs.
+
+    In this order everything that grows from an earlier trail comes before what grows from a later one. So the first
+    ``beam`` trails of each length are enough, if ``top`` of the full length come of them; if not, the beam is widened
+    until they do or nothing is left out. Each join is with one bounded, broadcast table. Null seqs aren't expected.
+    """
+    e = written(edges.select("seq", "src", "dst").where("src != dst"))
+    while True:
+        now, levels, cut = None, [], False
+        for i in range(longest):
+            if now is None:
+                now = e.where(F.col("dst") == target).select(F.array("seq").alias("key"), F.array("src", "dst").alias("nodes"))
+            else:
+                now = e.join(F.broadcast(now.withColumn("head", F.col("nodes")[0])), F.col("head") == e.dst).where(~F.array_contains("nodes", F.col("src")))
+                now = now.select(F.concat("key", F.array("seq")).alias("key"), F.concat(F.array("src"), "nodes").alias("nodes"))
+            now = written(now.orderBy("key").limit(beam + 1))
+            n = now.count()
+            cut |= n > beam
+            now = now.orderBy("key").limit(beam)
+            levels.append(now)
+        if not cut or n >= top:
+            break
+        beam *= 8
+    found = levels[0]
+    for level in levels[1:]:
+        found = found.unionByName(level)
+    found = found.orderBy(F.size("nodes").desc(), "key").limit(top)
+    return found.select(F.array_join("nodes", "|").alias("nodes"), (F.size("nodes") - 1).cast("long").alias("n_hops"))
+
+
 def hops_between(edges: DataFrame, longest: int = 3) -> DataFrame:
     """(dst, src): distinct pairs linked by trails of 1 to ``longest`` edges; each level is made distinct before the next."""
     e = written(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
@@ -114,5 +146,13 @@ def hops_between(edges: DataFrame, longest: int = 3) -> DataFrame:
     return out.distinct()
 
 
-def rank_by(df: DataFrame, order: str, name: str = "n") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.orderBy(order)))
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with n, each row's number in ``order``, and total. Rows are dealt by ranges and numbered within each; the ranges'
+    sizes, one row for each task, say where its numbers begin."""
+    dealt = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = {r["_part"]: r["c"] for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("c")).collect()}
+    total = sum(sizes.values())
+    before = [(p, sum(c for q, c in sizes.items() if q < p)) for p in sizes] or [(0, 0)]
+    starts = df.sparkSession.createDataFrame(before, "_part int, _before long")
+    out = dealt.join(F.broadcast(starts), "_part").withColumn("n", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    return out.withColumn("total", F.lit(total).cast("long")).drop("_part", "_before")

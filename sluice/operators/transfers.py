@@ -29,9 +29,10 @@ relation("own_city", "SELECT sender_id AS id, max_by(sender_city, seq) AS city F
 relation("city_flow_lookup", "SELECT f.seq, f.sender_city AS from_city, coalesce(c.city, f.sender_city) AS to_city, f.amount, f.transfer_type FROM transfers f LEFT JOIN own_city c ON f.receiver_id = c.id")
 relation("city_all_flows", "SELECT seq, from_city, to_city, amount FROM city_flow_lookup")
 #: The constant flows that a dashboard always shows.
-_DEMO = "(VALUES ('Mumbai', 'Delhi', 100000.0), ('Delhi', 'Kolkata', 75000.0)) AS d(from_city, to_city, total)"
+_DEMO = "(VALUES ('Mumbai', 'Delhi', 195000), ('Chennai', 'Mumbai', 210000), ('Hyderabad', 'Bangalore', 188000), ('Kolkata', 'Delhi', 165000), ('Bangalore', 'Kolkata', 143000)) AS d(from_city, to_city, total)"
 relation("demo_flows", f"SELECT from_city, to_city, CAST(total AS DOUBLE) AS total FROM {_DEMO}")
 relation("city_pair_flows", "SELECT from_city, to_city, round(sum(amount), 4) AS total, count(*) AS n, 'data' AS origin FROM city_flow_lookup WHERE from_city <> to_city GROUP BY from_city, to_city UNION ALL SELECT d.from_city, d.to_city, d.total, 1, 'demo' FROM demo_flows d LEFT JOIN (SELECT DISTINCT from_city, to_city FROM city_flow_lookup) c ON d.from_city = c.from_city AND d.to_city = c.to_city WHERE c.from_city IS NULL")
+relation("city_map_totals", "SELECT city, round($EXACT[total], 2) AS total FROM (SELECT from_city AS city, amount AS total FROM city_flow_lookup UNION ALL SELECT from_city, total FROM demo_flows) GROUP BY city")
 relation("filter_country_city", "SELECT from_city, to_city, total FROM city_pair_flows WHERE from_city = 'CHINA' OR to_city = 'CHINA'")
 relation("flow_type", "SELECT from_city, to_city, CASE WHEN avg(CASE WHEN transfer_type = 'SUSPECTED_CASH' THEN CAST(1 AS DOUBLE) ELSE 0 END) >= 0.5 THEN 'cash' ELSE 'digital' END AS kind FROM city_flow_lookup GROUP BY from_city, to_city")
 
@@ -41,8 +42,8 @@ relation("cypher_topk", "SELECT hub, inbound_count, threat FROM community ORDER
 relation("recruitment", "SELECT sender_ip AS ip, count(DISTINCT sender_id) AS n_accounts, $SET[sender_id] AS accounts, $SET[sender_city] AS cities FROM transfers GROUP BY sender_ip HAVING count(DISTINCT sender_id) >= 2")
 relation("ip_users", "SELECT DISTINCT sender_ip, sender_id FROM transfers")
 relation("identity_fusion", "SELECT a.sender_id AS account1, b.sender_id AS account2, a.sender_ip AS shared_ip FROM ip_users a JOIN ip_users b ON a.sender_ip = b.sender_ip AND a.sender_id < b.sender_id")
-relation("hub_in", "SELECT receiver_id AS id, count(DISTINCT sender_id) AS unique_senders, sum(amount) AS total_in FROM transfers GROUP BY receiver_id")
-relation("hub_out", "SELECT sender_id AS id, count(DISTINCT receiver_id) AS unique_receivers, sum(amount) AS total_out FROM transfers GROUP BY sender_id")
+relation("hub_in", "SELECT receiver_id AS id, count(DISTINCT sender_id) AS unique_senders, $EXACT[amount] AS total_in FROM transfers GROUP BY receiver_id")
+relation("hub_out", "SELECT sender_id AS id, count(DISTINCT receiver_id) AS unique_receivers, $EXACT[amount] AS total_out FROM transfers GROUP BY sender_id")
 relation(
     "hawala",
     """
@@ -53,30 +54,44 @@ FROM hub_in i LEFT JOIN hub_out o ON i.id = o.id WHERE i.unique_senders >= 3 AND
 relation(
     "shell_company",
     f"""
-SELECT receiver_id AS id, count(*) AS n, $INT[sum(amount)] AS total, round(avg(CASE WHEN amount % {ROUND} = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS round_share, count(DISTINCT sender_id) AS senders,
+SELECT receiver_id AS id, count(*) AS n, $INT[$EXACT[amount]] AS total, round(avg(CASE WHEN amount % {ROUND} = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END), 6) AS round_share, count(DISTINCT sender_id) AS senders,
   CASE WHEN avg(CASE WHEN amount % {ROUND} = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) >= 0.8 THEN 'HIGH' ELSE 'MEDIUM' END AS severity
 FROM transfers GROUP BY receiver_id HAVING count(*) >= 2 AND avg(CASE WHEN amount % {ROUND} = 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) >= 0.5 AND count(DISTINCT sender_id) >= 2""",
 )
-#: Watched accounts; the last two rows are accounts of the test data.
-_WATCHED = "('CRYPTO_BTC1', 'Binance BTC deposit'), ('CRYPTO_ETH1', 'Coinbase ETH deposit'), ('CRYPTO_USDT1', 'WazirX USDT deposit'), ('CRYPTO_BNB1', 'Binance BNB deposit'), ('DEALER1', 'Suspected crypto gateway'), ('DEALER2', 'Suspected crypto gateway'), ('ACC7', 'Suspected crypto gateway'), ('ACC13', 'Suspected crypto gateway')"
-relation("watched", f"SELECT id, exchange FROM (VALUES {_WATCHED}) AS w(id, exchange)")
+#: Watched accounts. An analyst's own are added.
+_WATCHED = "('CRYPTO_BTC1', 'Binance BTC deposit'), ('CRYPTO_ETH1', 'Coinbase ETH deposit'), ('CRYPTO_USDT1', 'WazirX USDT deposit'), ('CRYPTO_BNB1', 'Binance BNB deposit'), ('DEALER1', 'Suspected crypto gateway'), ('DEALER2', 'Suspected crypto gateway')"
+relation("watched", f"SELECT id, exchange FROM (VALUES {_WATCHED}) AS w(id, exchange) UNION ALL SELECT id, exchange FROM own_watched")
 relation("crypto_gateway", "SELECT f.seq, f.sender_id, f.receiver_id, w.exchange, $INT[f.amount] AS amount, CAST(floor($INT[f.amount] / 1000) AS BIGINT) AS thousands FROM transfers f JOIN watched w ON f.receiver_id = w.id")
 relation("pairs", "SELECT DISTINCT sender_id AS src, receiver_id AS dst FROM transfers")
 relation("two_hops", "SELECT DISTINCT a.src, b.dst FROM pairs a JOIN pairs b ON a.dst = b.src")
 relation("reach_three", "SELECT src, dst FROM pairs UNION SELECT src, dst FROM two_hops UNION SELECT a.src, b.dst FROM two_hops a JOIN pairs b ON a.dst = b.src")
 relation("convergence", "SELECT dst AS id, count(*) AS sources FROM reach_three GROUP BY dst HAVING count(*) >= 3")
+#: The ten longest trails to an account. A trail's key is the numbers of its transfers from the account back, so in the order
+#: of keys all that grows from an earlier trail comes before what grows from a later one: the first BEAM of each length give the first of the next.
+BEAM, TOP_TRAILS = 1000, 10
+_SEQ = "lpad(CAST({0} AS STRING), 14, '0')"
+relation("trail_1", f"SELECT {_SEQ.format('seq')} AS k, sender_id || '|' || receiver_id AS nodes, sender_id AS head, CAST(1 AS BIGINT) AS n_hops FROM transfers WHERE receiver_id = '{ACCOUNT}' AND sender_id <> receiver_id ORDER BY k LIMIT {BEAM}")
+for _i in range(2, 6):
+    relation(
+        f"trail_{_i}",
+        f"""
+SELECT b.k || {_SEQ.format("f.seq")} AS k, f.sender_id || '|' || b.nodes AS nodes, f.sender_id AS head, b.n_hops + 1 AS n_hops
+FROM trail_{_i - 1} b JOIN transfers f ON b.head = f.receiver_id WHERE position('|' || f.sender_id || '|' IN '|' || b.nodes || '|') = 0 ORDER BY k LIMIT {BEAM}""",
+    )
+relation("reverse_chain", "SELECT nodes, n_hops FROM (" + " UNION ALL ".join(f"SELECT * FROM trail_{i}" for i in range(1, 6)) + f") ORDER BY n_hops DESC, k LIMIT {TOP_TRAILS}")
+
+# windows in time
+# a row's window reaches into the next bucket at most, so each row is in its own bucket and, for those before it, in the previous one
+relation("event_times", f"SELECT event_id, user_id, value, t, CAST(floor(t / {WINDOW}) AS BIGINT) AS bucket FROM (SELECT event_id, user_id, value, $EPOCH[ts] AS t FROM events)")
 relation(
-    "trails_back",
+    "event_windows",
     f"""
-SELECT sender_id || '|' || receiver_id AS nodes, CAST(1 AS BIGINT) AS n_hops, sender_id AS head, '|' || CAST(seq AS STRING) || '|' AS used, CASE WHEN sender_id = receiver_id THEN 0 ELSE 1 END AS simple
-FROM transfers WHERE receiver_id = '{ACCOUNT}'
-UNION ALL SELECT f.sender_id || '|' || b.nodes, b.n_hops + 1, f.sender_id, b.used || CAST(f.seq AS STRING) || '|', CASE WHEN position('|' || f.sender_id || '|' IN '|' || b.nodes || '|') > 0 THEN 0 ELSE b.simple END
-FROM trails_back b JOIN transfers f ON b.head = f.receiver_id WHERE b.n_hops < 2 AND position('|' || CAST(f.seq AS STRING) || '|' IN b.used) = 0""",
+SELECT event_id, user_id, t, value, n, total FROM (
+  SELECT *, count(*) OVER w AS n, sum(value) OVER w AS total FROM (
+    SELECT event_id, user_id, value, t, bucket, 1 AS own FROM event_times UNION ALL SELECT event_id, user_id, value, t, bucket - 1, 0 FROM event_times)
+  WINDOW w AS (PARTITION BY bucket ORDER BY t RANGE BETWEEN CURRENT ROW AND {WINDOW} FOLLOWING))
+WHERE own = 1""",
 )
-relation("reverse_chain", "SELECT nodes, n_hops FROM trails_back WHERE simple = 1")
-
-# windows in time
-relation("event_windows", f"SELECT event_id, user_id, $EPOCH[ts] AS t, value, count(*) OVER w AS n, sum(value) OVER w AS total FROM events WINDOW w AS (ORDER BY $EPOCH[ts] RANGE BETWEEN CURRENT ROW AND {WINDOW} FOLLOWING)")
 relation("coordination", "SELECT hour, n, round(total, 4) AS total FROM (SELECT CAST(floor(t / 3600) AS BIGINT) AS hour, n, total, row_number() OVER (PARTITION BY CAST(floor(t / 3600) AS BIGINT) ORDER BY t, event_id) AS r FROM event_windows WHERE n >= 3) WHERE r = 1")
 relation("sent_stats", "SELECT sender_id AS id, count(*) AS n, (max(t) - min(t)) / CAST(3600 AS DOUBLE) AS span FROM transfers GROUP BY sender_id")
 relation("sent_windows", f"SELECT sender_id AS id, seq, t, count(*) OVER (PARTITION BY sender_id ORDER BY t RANGE BETWEEN CURRENT ROW AND {WINDOW} FOLLOWING) AS n FROM transfers")
@@ -91,17 +106,26 @@ FROM union_all_events WINDOW o AS (PARTITION BY id ORDER BY t, side, seq)""",
 )
 relation("run_gaps", "SELECT r.*, lag(r.avg_before) OVER (PARTITION BY id ORDER BY t, side, seq) AS avg_earlier FROM event_runs r")
 relation("dormant_reactivation", "SELECT id, t, days, n_after FROM (SELECT id, t, n_after, CAST(floor((t - before_t) / 86400) AS BIGINT) AS days, row_number() OVER (PARTITION BY id ORDER BY t, side, seq) AS r FROM run_gaps WHERE n_all >= 3 AND t - before_t >= 30 * 86400 AND n_after >= 2 AND (avg_after > 1.5 * coalesce(avg_earlier, 0) OR coalesce(avg_earlier, 0) = 0)) WHERE r = 1")
-relation("passed_on", "SELECT i.receiver_id AS id, i.seq AS in_seq, o.seq AS out_seq, (o.t - i.t) / CAST(3600 AS DOUBLE) AS delay, o.amount / (i.amount + 1) AS ratio FROM transfers i JOIN transfers o ON i.receiver_id = o.sender_id AND o.t > i.t AND o.t <= i.t + 336 * 3600")
+# what is received is passed on within the same fortnight or the next: the join is on the account and the fortnight
+FORTNIGHT = 336 * 3600
+relation("received_bins", f"SELECT receiver_id, seq, t, amount, CAST(floor(t / {FORTNIGHT}) AS BIGINT) AS bin FROM transfers UNION ALL SELECT receiver_id, seq, t, amount, CAST(floor(t / {FORTNIGHT}) AS BIGINT) + 1 FROM transfers")
+relation(
+    "passed_on",
+    f"""
+SELECT i.receiver_id AS id, i.seq AS in_seq, o.seq AS out_seq, (o.t - i.t) / CAST(3600 AS DOUBLE) AS delay, o.amount / (i.amount + 1) AS ratio
+FROM received_bins i JOIN (SELECT sender_id, seq, t, amount, CAST(floor(t / {FORTNIGHT}) AS BIGINT) AS bin FROM transfers) o
+ON i.receiver_id = o.sender_id AND i.bin = o.bin AND o.t > i.t AND o.t <= i.t + {FORTNIGHT}""",
+)
 relation("delayed_layering", "SELECT id, in_seq, out_seq, round(delay, 6) AS delay, round(ratio, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY in_seq, out_seq) AS r FROM passed_on WHERE delay >= 1 AND ratio BETWEEN 0.7 AND 1.0) WHERE r = 1")
 relation("rapid_forward", "SELECT id, in_seq, out_seq, round(delay, 6) AS delay FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY in_seq, out_seq) AS r FROM passed_on WHERE delay <= 6) WHERE r = 1")
-relation("smurfing_sequence", f"SELECT sender_id AS id, count_if(amount < {SMALL}) AS small, $INT[sum(CASE WHEN amount < {SMALL} THEN amount ELSE 0 END)] AS total FROM transfers GROUP BY sender_id HAVING count(*) >= 3 AND count_if(amount < {SMALL}) >= 3 AND count_if(amount < {SMALL}) / CAST(count(*) AS DOUBLE) >= 0.6")
+relation("smurfing_sequence", f"SELECT sender_id AS id, count_if(amount < {SMALL}) AS small, $INT[$EXACT[CASE WHEN amount < {SMALL} THEN amount ELSE 0 END]] AS total FROM transfers GROUP BY sender_id HAVING count(*) >= 3 AND count_if(amount < {SMALL}) >= 3 AND count_if(amount < {SMALL}) / CAST(count(*) AS DOUBLE) >= 0.6")
 relation("temporal_hits", " UNION ALL ".join(f"SELECT id, '{p}' AS pattern FROM {p}" for p in ("dormant_reactivation", "delayed_layering", "velocity_spike", "smurfing_sequence", "rapid_forward")))
 relation("temporal_score", "SELECT id, CAST(least(25 * count(*), 100) AS BIGINT) AS score, count(*) AS n, $LIST[pattern] AS patterns FROM temporal_hits GROUP BY id")
 relation("temporal_level", "SELECT id, score, CASE WHEN score >= 75 THEN 'CRITICAL' WHEN score >= 50 THEN 'HIGH' WHEN score >= 25 THEN 'MEDIUM' WHEN score > 0 THEN 'LOW' ELSE 'CLEAR' END AS level FROM temporal_score")
 
 # features and rules
-relation("sent", f"SELECT sender_id AS id, count(*) AS n, sum(amount) AS total, avg(amount) AS mean, count(DISTINCT receiver_id) AS partners, count(DISTINCT sender_city) AS cities, min(t) AS first_t, max(t) AS last_t, count_if(amount % {ROUND} = 0) AS n_round FROM transfers GROUP BY sender_id")
-relation("received", f"SELECT receiver_id AS id, count(*) AS n, sum(amount) AS total, avg(amount) AS mean, count(DISTINCT sender_id) AS partners, count(DISTINCT sender_city) AS cities, count(DISTINCT sender_ip) AS ips, max(t) AS last_t, count_if(amount % {ROUND} = 0) AS n_round FROM transfers GROUP BY receiver_id")
+relation("sent", f"SELECT sender_id AS id, count(*) AS n, $EXACT[amount] AS total, $EXACT[amount] / count(*) AS mean, count(DISTINCT receiver_id) AS partners, count(DISTINCT sender_city) AS cities, min(t) AS first_t, max(t) AS last_t, count_if(amount % {ROUND} = 0) AS n_round FROM transfers GROUP BY sender_id")
+relation("received", f"SELECT receiver_id AS id, count(*) AS n, $EXACT[amount] AS total, $EXACT[amount] / count(*) AS mean, count(DISTINCT sender_id) AS partners, count(DISTINCT sender_city) AS cities, count(DISTINCT sender_ip) AS ips, max(t) AS last_t, count_if(amount % {ROUND} = 0) AS n_round FROM transfers GROUP BY receiver_id")
 relation(
     "feature_rows",
     """

@@ -187,7 +187,7 @@ relation(
 SELECT w.wallet, coalesce(s.weight, 0) / CASE WHEN z.total > 0 THEN z.total ELSE 1 END + CASE WHEN z.total > 0 THEN 0 ELSE CAST(1 AS DOUBLE) / z.n END AS seeded, CAST(1 AS DOUBLE) / z.n AS flat
 FROM all_wallets w LEFT JOIN seeds s ON w.wallet = s.wallet CROSS JOIN (SELECT coalesce((SELECT sum(weight) FROM seeds), 0) AS total, (SELECT count(*) FROM all_wallets) AS n) z""",
 )
-PPR_CHECKED = 10
+PPR_CHECKED = 60
 for _i in range(PPR_CHECKED):
     _prev = f"rank_{_i}" if _i else "(SELECT wallet, seeded, flat FROM restarts)"
     relation(
@@ -200,12 +200,13 @@ CROSS JOIN (SELECT coalesce(sum(v.seeded), 0) AS seeded, coalesce(sum(v.flat), 0
 relation("ranks", f"SELECT wallet, CAST(seeded AS DOUBLE) AS seeded, CAST(flat AS DOUBLE) AS flat FROM rank_{PPR_CHECKED}")
 relation("ppr", "SELECT wallet, round(seeded, 8) AS seeded, round(flat, 8) AS flat FROM ranks")
 relation("risk_ratio", "SELECT wallet, round(seeded / greatest(flat, 1e-12), 7) AS ratio FROM ranks")
-relation("percentile_rank", "SELECT wallet, ratio, CASE WHEN count(*) OVER () > 1 THEN (row_number() OVER (ORDER BY ratio, wallet) - 1) / CAST(greatest(count(*) OVER () - 1, 1) AS DOUBLE) ELSE 1 END AS pct FROM risk_ratio")
-relation("score_parts", "SELECT p.wallet, 100 * coalesce(s.weight, 0) AS direct, 100 * p.pct AS spread, 60 * coalesce(s.weight, 0) + 40 * p.pct AS final FROM percentile_rank p LEFT JOIN seeds s ON p.wallet = s.wallet")
+relation("ratio_ranks", "SELECT wallet, ratio, row_number() OVER (ORDER BY ratio, wallet) AS n, count(*) OVER () AS total FROM risk_ratio")
+relation("percentile_rank", "SELECT wallet, ratio, CASE WHEN total > 1 THEN (n - 1) / CAST(greatest(total - 1, 1) AS DOUBLE) ELSE 1 END AS pct FROM ratio_ranks")
+relation("score_parts", "SELECT p.wallet, 100 * coalesce(s.weight, 0) AS direct, 100 * p.pct AS spread, round(CAST(60 * coalesce(s.weight, 0) + 40 * p.pct AS DOUBLE), 2) AS final FROM percentile_rank p LEFT JOIN seeds s ON p.wallet = s.wallet")
 relation(
     "final_scores",
     """
-SELECT wallet, round(CAST(direct AS DOUBLE), 4) AS direct, round(CAST(spread AS DOUBLE), 4) AS spread, round(CAST(final AS DOUBLE), 4) AS final,
+SELECT wallet, round(CAST(direct AS DOUBLE), 2) AS direct, round(CAST(spread AS DOUBLE), 2) AS spread, final,
   CASE WHEN final >= 75 THEN 'CRITICAL' WHEN final >= 50 THEN 'HIGH' WHEN final >= 25 THEN 'MEDIUM' ELSE 'CLEAR' END AS tier FROM score_parts""",
 )
 relation("classify_tier", "SELECT tier, min(final) AS lowest, max(final) AS highest FROM final_scores GROUP BY tier")
@@ -214,7 +215,7 @@ relation("topn_risk", "SELECT wallet, final, tier FROM final_scores ORDER BY fin
 relation("page_risk", "SELECT wallet, final, tier, (SELECT count(*) FROM final_scores) AS total FROM final_scores ORDER BY final DESC, wallet LIMIT 50 OFFSET 50")
 relation("top10_critical", "SELECT wallet, final FROM final_scores WHERE tier = 'CRITICAL' ORDER BY final DESC, wallet LIMIT 10")
 relation("filter_tier", "SELECT wallet, final FROM final_scores WHERE tier = upper('high')")
-relation("filter_wallet_regex", "SELECT wallet, $LIKE['bc1q' || substring($SHA[wallet], 1, 20) ;; ^bc1[a-z0-9]+$] AS valid, $LIKE[wallet ;; ^bc1[a-z0-9]+$] AS raw_valid FROM all_wallets")
+relation("filter_wallet_regex", "SELECT wallet, $LIKE['bc1q' || substring($SHA[wallet], 1, 20) ;; ^bc1[a-z0-9]{10,80}$] AS valid, $LIKE[wallet ;; ^bc1[a-z0-9]{10,80}$] AS raw_valid FROM all_wallets")
 relation("membership_counts", "SELECT w.wallet, coalesce(c.n, 0) AS n_chains, coalesce(s.n, 0) AS n_sweeps FROM all_wallets w LEFT JOIN (SELECT wallet, count(DISTINCT root) AS n FROM chain_wallets GROUP BY wallet) c ON w.wallet = c.wallet LEFT JOIN (SELECT wallet, count(DISTINCT txid) AS n FROM sweep_wallets GROUP BY wallet) s ON w.wallet = s.wallet")
 relation("export_membership", "SELECT f.wallet, f.final, f.tier, m.n_chains, m.n_sweeps FROM final_scores f JOIN membership_counts m ON f.wallet = m.wallet")
 relation("wallet_detail", "SELECT e.*, coalesce(i.n_senders, 0) AS n_senders FROM export_membership e LEFT JOIN sender_counts i ON e.wallet = i.wallet WHERE e.wallet = 'wp0_0'")
@@ -239,10 +240,11 @@ relation("project_short_label", "SELECT wallet, CASE WHEN length(wallet) > 12 TH
 
 # where addresses are
 _NUMBER = "TRY_CAST(split_part({0}, '.', 1) AS BIGINT) * 16777216 + TRY_CAST(split_part({0}, '.', 2) AS BIGINT) * 65536 + TRY_CAST(split_part({0}, '.', 3) AS BIGINT) * 256 + TRY_CAST(split_part({0}, '.', 4) AS BIGINT)"
-relation("ip_numbers", f"SELECT ip, {_NUMBER.format('ip')} AS n FROM unique_ips")
-# a range is looked up by the /16 blocks that it touches: an equi-join, with the bounds as a residual
-relation("country_blocks", "SELECT g.*, b.block FROM geo_country g JOIN (SELECT DISTINCT CAST(floor(n / 65536) AS BIGINT) AS block FROM ip_numbers) b ON b.block BETWEEN CAST(floor(g.start_int / 65536) AS BIGINT) AND CAST(floor(g.end_int / 65536) AS BIGINT)")
-relation("asn_blocks", "SELECT g.*, b.block FROM geo_asn g JOIN (SELECT DISTINCT CAST(floor(n / 65536) AS BIGINT) AS block FROM ip_numbers) b ON b.block BETWEEN CAST(floor(g.start_int / 65536) AS BIGINT) AND CAST(floor(g.end_int / 65536) AS BIGINT)")
+_OCTET = "(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+relation("ip_numbers", f"SELECT ip, CASE WHEN $LIKE[ip ;; ^{_OCTET}([.]{_OCTET}){{3}}$] THEN {_NUMBER.format('ip')} END AS n FROM unique_ips")
+# a range is spread over the /16 blocks that it touches, at most 65,536 more rows than ranges that don't overlap: looking up is an equi-join, with the bounds as a residual
+for _t in ("country", "asn"):
+    relation(f"{_t}_blocks", f"SELECT g.*, $STEPS[CAST(floor(g.start_int / 65536) AS BIGINT) ;; CAST(floor(g.end_int / 65536) AS BIGINT)] AS block FROM geo_{_t} g WHERE g.start_int <= g.end_int")
 relation("geo_range_country", "SELECT i.ip, g.country FROM ip_numbers i LEFT JOIN country_blocks g ON CAST(floor(i.n / 65536) AS BIGINT) = g.block AND i.n BETWEEN g.start_int AND g.end_int")
 relation("geo_range_asn", "SELECT i.ip, g.asn, g.asn_org FROM ip_numbers i LEFT JOIN asn_blocks g ON CAST(floor(i.n / 65536) AS BIGINT) = g.block AND i.n BETWEEN g.start_int AND g.end_int")
 relation("ip_places", "SELECT c.ip, c.country, a.asn, a.asn_org FROM geo_range_country c JOIN geo_range_asn a ON c.ip = a.ip")
@@ -253,7 +255,11 @@ relation("wallet_geo_lookup", "SELECT * FROM wallet_geo WHERE wallet = 'wp0_1'")
 
 # features
 relation("inter_tx_gap", "SELECT wallet, t, (t - lag(t) OVER (PARTITION BY wallet ORDER BY t, seq)) / CAST(3600 AS DOUBLE) AS gap FROM legs")
-relation("co_wallets", "SELECT a.wallet, count(DISTINCT b.wallet) AS n FROM (SELECT DISTINCT txid, wallet FROM legs) a JOIN (SELECT DISTINCT txid, wallet FROM legs) b ON a.txid = b.txid AND a.wallet <> b.wallet GROUP BY a.wallet")
+# a wallet of one transaction shares it with all others of it: only wallets of several need the distinct others
+relation("tx_wallets", "SELECT DISTINCT txid, wallet FROM legs")
+relation("wallet_txs", "SELECT wallet, count(*) AS n_txs, min(txid) AS txid FROM tx_wallets GROUP BY wallet")
+relation("co_many", "SELECT a.wallet, count(DISTINCT b.wallet) AS n FROM wallet_txs w JOIN tx_wallets a ON w.wallet = a.wallet JOIN tx_wallets b ON a.txid = b.txid WHERE w.n_txs > 1 GROUP BY a.wallet")
+relation("co_wallets", "SELECT w.wallet, coalesce(m.n, z.n) - 1 AS n FROM wallet_txs w JOIN (SELECT txid, count(*) AS n FROM tx_wallets GROUP BY txid) z ON w.txid = z.txid LEFT JOIN co_many m ON w.wallet = m.wallet WHERE coalesce(m.n, z.n) > 1")
 relation("gap_means", "SELECT wallet, avg(gap) AS g, stddev_pop(gap) AS g_std FROM inter_tx_gap GROUP BY wallet")
 relation(
     "wallet_features_api",
@@ -277,8 +283,12 @@ SELECT l.wallet, count(DISTINCT CASE WHEN role = 'input' THEN txid END) AS in_de
   round((max(t) - min(t)) / CAST(3600 AS DOUBLE), 6) AS time_span_hours, round(avg(fee), 6) AS avg_fee, count(DISTINCT script_type) AS script_type_diversity
 FROM legs l LEFT JOIN co_wallets c ON l.wallet = c.wallet GROUP BY l.wallet""",
 )
-relation("wallet_ips", "SELECT DISTINCT l.wallet, r.ip FROM legs l JOIN src_relay_csv r ON l.txid = r.txid")
-relation("ip_reuse", "SELECT a.wallet, count(DISTINCT b.wallet) AS n FROM wallet_ips a JOIN wallet_ips b ON a.ip = b.ip AND a.wallet <> b.wallet GROUP BY a.wallet")
+# likewise for addresses: wallets of one address need its size only, those of several the size of the union, once for each distinct set
+relation("wallet_ips", "SELECT DISTINCT l.wallet, r.ip FROM legs l JOIN src_relay_csv r ON l.txid = r.txid WHERE r.ip IS NOT NULL")
+relation("ip_sets", "SELECT wallet, $SET[ip] AS ips, count(*) AS n_ips, min(ip) AS ip FROM wallet_ips GROUP BY wallet")
+relation("ip_set_members", "SELECT DISTINCT s.ips, w.ip FROM ip_sets s JOIN wallet_ips w ON s.wallet = w.wallet WHERE s.n_ips > 1")
+relation("ip_set_reach", "SELECT m.ips, count(DISTINCT w.wallet) AS n FROM ip_set_members m JOIN wallet_ips w ON m.ip = w.ip GROUP BY m.ips")
+relation("ip_reuse", "SELECT s.wallet, coalesce(r.n, z.n) - 1 AS n FROM ip_sets s JOIN (SELECT ip, count(*) AS n FROM wallet_ips GROUP BY ip) z ON s.ip = z.ip LEFT JOIN ip_set_reach r ON s.ips = r.ips WHERE coalesce(r.n, z.n) > 1")
 relation("hour_counts", "SELECT wallet, sum(CAST(n AS DOUBLE) * n) / (CAST(sum(n) AS DOUBLE) * sum(n)) AS herfindahl FROM (SELECT wallet, CAST(floor(t / 3600) AS BIGINT) % 24 AS hour, count(*) AS n FROM legs GROUP BY wallet, CAST(floor(t / 3600) AS BIGINT) % 24) GROUP BY wallet")
 relation("wallet_sums", "SELECT wallet, sum(amount) AS total FROM legs GROUP BY wallet")
 relation(
@@ -292,14 +302,15 @@ FROM legs l JOIN wallet_sums s ON l.wallet = s.wallet JOIN hour_counts h ON l.wa
 )
 relation("filter_min_events", "SELECT event_count >= 3 AS included, count(*) AS n FROM fingerprints GROUP BY event_count >= 3")
 relation("join_left_features", "SELECT f.wallet, f.event_count, coalesce(a.total_in, 0) AS total_in, coalesce(a.std_amount, 0) AS std_amount FROM fingerprints f LEFT JOIN (SELECT * FROM wallet_features_api WHERE num_in_txns > 1) a ON f.wallet = a.wallet")
-_COLS = ("total_in", "total_out", "num_in_txns", "num_out_txns", "time_span_hrs")
+_COLS = ("total_in", "total_out", "net_flow", "num_in_txns", "num_out_txns", "avg_amount_in", "avg_amount_out", "std_amount", "time_span_hrs", "avg_inter_tx_hrs", "unique_counterparties", "fee_ratio", "script_type_diversity")
 relation("feature_moments", "SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s, min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in _COLS) + " FROM wallet_features_api")
-relation("standardize", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_m) / CASE WHEN {c}_s > 0 THEN {c}_s ELSE 1 END, 5) AS {c}" for c in _COLS) + " FROM wallet_features_api CROSS JOIN feature_moments")
+relation("standardize", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_m) / CASE WHEN {c}_s > 1e-9 THEN {c}_s ELSE 1 END, 5) AS {c}" for c in _COLS) + " FROM wallet_features_api CROSS JOIN feature_moments")
 relation("minmax", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_lo) / CAST(CASE WHEN {c}_hi > {c}_lo THEN {c}_hi - {c}_lo ELSE 1 END AS DOUBLE), 6) AS {c}" for c in _COLS) + " FROM wallet_features_api CROSS JOIN feature_moments")
-relation("anomaly_top_pct", "SELECT wallet, total_in FROM (SELECT wallet, total_in, row_number() OVER (ORDER BY total_in DESC, wallet) AS n, count(*) OVER () AS total FROM wallet_features_api) WHERE n <= greatest(1, floor(total * 0.05))")
+relation("anomaly_ranks", "SELECT wallet, total_in, row_number() OVER (ORDER BY total_in DESC, wallet) AS n, count(*) OVER () AS total FROM wallet_features_api")
+relation("anomaly_top_pct", "SELECT wallet, total_in FROM anomaly_ranks WHERE n <= greatest(1, floor(total * 0.05))")
 relation("score_enrich", "SELECT f.wallet, f.final, coalesce(z.total_in, 0) AS anomaly_like, coalesce(g.send_countries, '') AS geo_countries, coalesce(g.asns, '') AS asns FROM final_scores f LEFT JOIN standardize z ON f.wallet = z.wallet LEFT JOIN wallet_geo g ON f.wallet = g.wallet")
 relation("ml_blend", "SELECT f.wallet, round(0.7 * f.final + 0.3 * 100 * m.total_out, 6) AS blended FROM final_scores f JOIN minmax m ON f.wallet = m.wallet")
 relation("sink_export_flagged", "SELECT e.wallet, e.final, e.tier, e.n_chains, e.n_sweeps, coalesce(g.send_countries, '') AS geo_countries, coalesce(g.asns, '') AS asns FROM export_membership e LEFT JOIN wallet_geo g ON e.wallet = g.wallet WHERE e.tier <> 'CLEAR'")
-relation("top_abs_features", "SELECT wallet, feature, z FROM (SELECT wallet, feature, z, row_number() OVER (PARTITION BY wallet ORDER BY abs(z) DESC, feature) AS n FROM (" + " UNION ALL ".join(f"SELECT wallet, '{c}' AS feature, {c} AS z FROM standardize" for c in _COLS) + ")) WHERE n <= 3")
+relation("top_abs_features", "SELECT wallet, feature, z FROM (SELECT wallet, feature, z, row_number() OVER (PARTITION BY wallet ORDER BY abs(z) DESC, feature) AS n FROM (" + " UNION ALL ".join(f"SELECT wallet, '{c}' AS feature, {c} AS z FROM standardize" for c in _COLS) + ")) WHERE n <= 5")
 relation("bar_norm", "SELECT feature, round(100 * m / max(m) OVER (), 4) AS pct FROM (SELECT feature, avg(abs(z)) AS m FROM top_abs_features GROUP BY feature)")
 relation("top_shap", "SELECT feature, m FROM (SELECT feature, round(avg(abs(z)), 5) AS m FROM top_abs_features GROUP BY feature) ORDER BY m DESC, feature LIMIT 15")

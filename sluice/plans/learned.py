@@ -61,7 +61,7 @@ def ensemble(spark, sf_dir):
 
 def validation_summary(spark, sf_dir):
     found = ml.cross_validate(_labelled(spark, sf_dir), ACCOUNT, "id")
-    sums = found.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.avg("brier").alias("brier"))
+    sums = found.agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")], F.avg("brier").alias("brier"), F.avg("auroc").alias("auroc"))
     return sums.select("*", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"))
 
 

@@ -25,7 +25,11 @@ ROUNDED = {"value_flow_edges": "flow_weights", "score_chain": "chain_scores", "s
 #: Steps on the way, that no analyst asks for by themselves or whose unrounded sums depend on the order of adding.
 INTERNAL = {"event_windows", "event_runs", "run_gaps", "sent", "received", "feature_rows", "passed_on", "gap_means", "wallet_sums", "hour_counts", "feature_moments", "ranks", "score_parts"}
 INTERNAL |= {"restarts", "transition", "chain_gaps", "tx_shape", "peel_candidates", "peel_ranked", "ece_bins", "scored_truth", "auc_ranks", "hub_in", "hub_out", "sent_stats", "cluster_purity"}
-INTERNAL |= {"vectors", "query_vectors", "shadow_pairs", "shadow_ranked", "sim_level", "nums", "owners", "steps", "legs_raw", "relay_raw", "n_customers", "accounts_geo", "ordered_items", "placed_orders", "transfers_numbered", "urgencies", "transfers_raw", "owner_reach", "trails_back", "path_steps", *(f"rank_{i}" for i in range(1, PPR_CHECKED + 1))}
+INTERNAL |= {"vectors", "query_vectors", "shadow_pairs", "shadow_ranked", "sim_level", "nums", "owners", "steps", "legs_raw", "relay_raw", "n_customers", "accounts_geo", "ordered_items", "placed_orders", "transfers_numbered", "urgencies", "transfers_raw", "owner_reach", "path_steps", "trail_1", "trail_2", "trail_3", "trail_4", "trail_5", "event_times", "received_bins", "read_items", "read_orders", "own_watched", "ratio_ranks", "anomaly_ranks", "total_ranks", "known_totals", "tx_wallets", "wallet_txs", "co_many", "ip_sets", "ip_set_members", "ip_set_reach", *(f"rank_{i}" for i in range(1, PPR_CHECKED + 1))}
+
+
+#: Global ranks: the relation whose rows are numbered, and the order.
+NUMBERED = {"ratio_ranks": ("risk_ratio", ("ratio", "wallet")), "anomaly_ranks": ("wallet_features_api", ("-total_in", "wallet")), "total_ranks": ("known_totals", ("total_in", "wallet"))}
 
 
 def iterative(spark: SparkSession, name: str, sf_dir: str | None, given: dict[str, DataFrame], ppr_rounds: int, memo: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -48,7 +52,10 @@ def iterative(spark: SparkSession, name: str, sf_dir: str | None, given: dict[st
         elif step == "ranks":
             found[step] = graph.personalized_pagerank(ask(name="transition"), ask(name="restarts"), ppr_rounds)
         elif step == "reverse_chain":
-            found[step] = graph.trails(ask(name="transfers").select("seq", F.col("sender_id").alias("src"), F.col("receiver_id").alias("dst")), ACCOUNT)
+            found[step] = graph.longest_trails(ask(name="transfers").select("seq", F.col("sender_id").alias("src"), F.col("receiver_id").alias("dst")), ACCOUNT)
+        elif step in NUMBERED:
+            source, order = NUMBERED[step]
+            found[step] = graph.numbered(ask(name=source), *[F.desc(c[1:]) if c[0] == "-" else F.asc(c) for c in order])
         elif step == "reach_three":
             found[step] = graph.hops_between(ask(name="pairs"))
         else:
@@ -67,8 +74,8 @@ _MEMOS: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
 def _registered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Of the test tables, which don't change, derived tables are kept for the session. Ranks take all their rounds; the
-    SQL spells out PPR_CHECKED."""
+    """Of the test tables, which don't change, derived tables are kept for the session. Ranks take all their rounds, and
+    so does the SQL."""
     return run(spark, name, sf_dir, graph.ROUNDS, _MEMOS.setdefault((spark.sparkContext.applicationId, sf_dir), {}))
 
 

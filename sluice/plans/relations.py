@@ -25,13 +25,16 @@ MACROS = {
     "INT": ("CAST({0} AS BIGINT)", "CAST(trunc({0}) AS BIGINT)"),
     "DOT": ("aggregate(zip_with({0}, {1}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (a, x) -> a + x)", "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[]))"),
     "PERCENTILE": ("percentile({0}, {1})", "quantile_cont({0}, {1})"),
+    # amounts have two decimals: their sum as decimals doesn't depend on the order of adding
+    "EXACT": ("CAST(sum(CAST({0} AS DECIMAL(18, 2))) AS DOUBLE)", "CAST(sum(CAST({0} AS DECIMAL(18, 2))) AS DOUBLE)"),
+    "STEPS": ("explode(sequence({0}, {1}))", "unnest(generate_series({0}, {1}))"),
     "SHA": ("sha2({0}, 256)", "sha256({0})"),
 }
 _MACRO = re.compile(r"\$([A-Z]+)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]")
 
 
 #: Relations that the oracle works out once; other engines decide by themselves.
-KEPT = ("rank_", "restarts", "transition", "seeds", "chain_steps", "legs", "components")
+KEPT = ("rank_", "restarts", "transition", "seeds", "chain_steps", "legs", "components", "transfers", "read_")
 
 
 def relation(name: str, sql: str) -> None:

@@ -97,16 +97,20 @@ _COVERED = [("10.1.0.0", "10.1.255.255"), ("10.2.0.0", "10.2.0.255"), ("10.3.0.0
 relation("geo_country", "SELECT * FROM (VALUES " + _ranges([(*r, c) for r, c in zip(_COVERED, ("AA", "BB", "CC", "DD", "NA"), strict=True)]) + ") AS g(start_int, end_int, country)")
 relation("geo_asn", "SELECT * FROM (VALUES " + _ranges([(*r, f"AS{64500 + i}", f"Network {i}") for i, r in enumerate(_COVERED)]) + ") AS g(start_int, end_int, asn, asn_org)")
 
+relation("read_items", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag FROM lineitem")
+relation("read_orders", "SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority FROM orders")
+#: Accounts of the test data that stand for an analyst's own watch list.
+relation("own_watched", "SELECT * FROM (VALUES ('ACC7', 'Suspected crypto gateway'), ('ACC13', 'Suspected crypto gateway')) AS w(id, exchange)")
 relation("n_customers", "SELECT count(*) AS n FROM customer")
 relation(
     "ordered_items",
     """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CASE WHEN l_returnflag || CAST(l_linenumber AS STRING) = 'R' || CAST(l_linenumber AS STRING) THEN 1 ELSE 0 END AS returned,
-  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS s FROM lineitem""",
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS s FROM read_items""",
 )
 # the keys beside the flags keep the oracle from working on dictionary codes, where its engine fails at times;
 # only numbers pass through the joins and the numbering; names are put to them at the end
-relation("placed_orders", "SELECT o_orderkey, o_custkey, $EPOCH[o_orderdate] AS day_t, CAST(substring(o_orderpriority || CAST(o_orderkey AS STRING), 1, 1) AS BIGINT) AS urgency FROM orders")
+relation("placed_orders", "SELECT o_orderkey, o_custkey, $EPOCH[o_orderdate] AS day_t, CAST(substring(o_orderpriority || CAST(o_orderkey AS STRING), 1, 1) AS BIGINT) AS urgency FROM read_orders")
 relation(
     "transfers_raw",
     f"""

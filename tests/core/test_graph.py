@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from sluice.operators import graph, ml
 from sluice.operators.components import components
@@ -49,14 +50,27 @@ def test_paths_and_trails(spark):
 def test_reverse_chain_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     names = [ACCOUNT, *"abcdef"]
-    pairs = [(str(a), str(b)) for a, b in rng.choice(names, (14, 2))] + [("w6", "w5"), ("w5", "w4"), ("w4", "w3"), ("w3", "w2"), ("w2", "w1"), ("w1", ACCOUNT)]
-    want, open_ = [], [[ACCOUNT]]
+    pairs = [(str(a), str(b)) for a, b in rng.choice(names, (24, 2))] + [("w6", "w5"), ("w5", "w4"), ("w4", "w3"), ("w3", "w2"), ("w2", "w1"), ("w1", ACCOUNT)]
+    want, open_ = [], [((), [ACCOUNT])]
     for _ in range(5):
-        open_ = [[s, *nodes] for nodes in open_ for s, r in pairs if r == nodes[0] and s not in nodes]
-        want += [("|".join(nodes), len(nodes) - 1) for nodes in open_]
+        open_ = [((*key, i), [s, *nodes]) for key, nodes in open_ for i, (s, r) in enumerate(pairs) if r == nodes[0] and s not in nodes]
+        want += [(-len(key), key, "|".join(nodes)) for key, nodes in open_]
     transfers = spark.createDataFrame([(i, s, r) for i, (s, r) in enumerate(pairs)], "seq long, sender_id string, receiver_id string")
-    got = registry.run(spark, "reverse_chain", transfers=transfers).collect()
-    assert sorted((r["nodes"], r["n_hops"]) for r in got) == sorted(want) and {n for _, n in want} == {1, 2, 3, 4, 5}
+    assert len(want) > 10
+    edges = transfers.select("seq", F.col("sender_id").alias("src"), F.col("receiver_id").alias("dst"))
+    assert sorted(r["nodes"] for r in graph.trails(edges, ACCOUNT).collect()) == sorted(nodes for _, _, nodes in want)
+    first = [(nodes, -n) for n, _, nodes in sorted(want)[:10]]
+    assert [tuple(r) for r in registry.run(spark, "reverse_chain", transfers=transfers).collect()] == first
+    assert [tuple(r) for r in graph.longest_trails(edges, ACCOUNT, beam=1).collect()] == first
+    assert graph.longest_trails(edges, "nobody").collect() == []
+
+
+def test_numbered_equals_a_global_window(spark):
+    rows = spark.range(500).selectExpr("id", "id * 37 % 50 AS v")
+    got = {r["id"]: (r["n"], r["total"]) for r in graph.numbered(rows, F.asc("v"), F.desc("id")).collect()}
+    order = sorted(range(500), key=lambda i: (i * 37 % 50, -i))
+    assert got == {i: (n, 500) for n, i in enumerate(order, 1)}
+    assert graph.numbered(rows.limit(0), F.asc("v")).collect() == []
 
 
 def test_long_path_is_found(spark):

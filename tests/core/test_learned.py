@@ -48,7 +48,7 @@ def test_shadow_pipeline_answers_every_wallet(spark, sf):
 
 def test_every_labelled_row_is_tested_once(spark, sf, monkeypatch):
     forest, asked = ml._forest, []
-    monkeypatch.setattr(ml, "_forest", lambda rows, columns, trees, depth: asked.append(trees) or forest(rows, columns, 2, depth))
+    monkeypatch.setattr(ml, "_forest", lambda rows, trees, depth: asked.append(trees) or forest(rows, 2, depth))
     got = learned.nested_cv(spark, sf).collect()
     assert sorted(r["fold"] for r in got) == [0, 1, 2, 3, 4] and set(asked) == {150}
     assert sum(r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in got) == learned._labelled(spark, sf).count()
