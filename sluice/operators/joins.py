@@ -20,9 +20,10 @@ def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, c
     others = [c for c in groups.columns if c not in (*keys, count)]
     is_hot = F.col(count) * F.lit(HOT_GROUPS) > F.lit(total)
     figures = F.struct(*others, F.lit(True).alias("_found"))
+    none = F.pmod(F.xxhash64(*keys), F.lit(1))  # always 0; a literal would be taken out of the join's keys
     hot = groups.where(is_hot).select(*keys, figures.alias("_hot"))
-    rest = groups.where(~is_hot).select(*keys, F.lit(0).cast("long").alias("_salt"), figures.alias("_rest"))
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
-    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt.cast("long"))
+    rest = groups.where(~is_hot).select(*keys, none.alias("_salt"), figures.alias("_rest"))
+    salt = F.when(F.col("_hot").isNull(), none).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    marked = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
     joined = marked.join(rest, [*keys, "_salt"], "left").withColumn("_figures", F.coalesce("_hot", "_rest"))
     return joined.where("_figures IS NOT NULL").select(*[F.col(c) for c in rows.columns], *[F.col(f"_figures.{c}").alias(c) for c in others])
