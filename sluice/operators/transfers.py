@@ -14,7 +14,19 @@ relation("sink_neo4j", "SELECT sender_id AS id FROM transfers UNION SELECT recei
 relation("all_accounts", "SELECT id FROM sink_neo4j")
 relation("scan_graph", "SELECT seq, sender_id, receiver_id, amount, t, case_id, transfer_type FROM transfers")
 relation("filter_case", "SELECT seq, sender_id, receiver_id, amount, transfer_type FROM transfers WHERE case_id = '1-URGENT'")
-relation("filter_transfers", "SELECT seq, sender_id, receiver_id, amount FROM transfers WHERE case_id = '2-HIGH' AND (sender_ip LIKE '10.0.1%' OR receiver_ip LIKE '10.0.1%') AND lower(sender_city) <> lower('Nowhere') AND CAST(sender_phone AS STRING) LIKE '9%'")
+# the filters of a case and an address, and of a telephone and a city: what passes as edges, and its accounts as nodes
+relation("own_address", f"SELECT max(ip) AS ip FROM own_ip WHERE id = '{ACCOUNT}'")
+for _name, _where in (
+    ("filter_transfers", "case_id = '2-HIGH' AND (sender_ip = (SELECT ip FROM own_address) OR receiver_ip = (SELECT ip FROM own_address))"),
+    ("filter_sender", f"CAST(sender_phone AS STRING) = '91000011' AND lower(sender_city) = lower((SELECT max(city) FROM own_city WHERE id = '{ACCOUNT}'))"),
+):
+    relation(f"{_name}_edges", f"SELECT seq, sender_id, receiver_id, amount, transfer_type FROM transfers WHERE {_where}")
+    relation(
+        _name,
+        f"""
+SELECT 'edge' AS kind, seq, sender_id AS a, receiver_id AS b, amount, transfer_type FROM {_name}_edges
+UNION ALL SELECT 'node', NULL, id, NULL, NULL, NULL FROM (SELECT sender_id AS id FROM {_name}_edges UNION SELECT receiver_id FROM {_name}_edges)""",
+    )
 relation("filter_exclude_ids", "SELECT id FROM all_accounts WHERE id NOT IN ('ACC0', 'ACC1', 'ACC2')")
 relation("union_all_events", "SELECT sender_id AS id, t, amount, 'out' AS side, seq FROM transfers UNION ALL SELECT receiver_id, t, amount, 'in', seq FROM transfers")
 relation("account_totals", "SELECT id, count_if(side = 'in') AS n_in, count_if(side = 'out') AS n_out, round(sum(CASE WHEN side = 'in' THEN amount ELSE 0 END), 4) AS total_in, round(sum(CASE WHEN side = 'out' THEN amount ELSE 0 END), 4) AS total_out FROM union_all_events GROUP BY id")
@@ -161,7 +173,36 @@ FROM feature_rows f LEFT JOIN shared_addresses s ON f.id = s.id""",
 _POINTS = ("fan_out", "fan_in", "same_ip", "own_ip", "burst", "spread_out", "spread_in", "forwards", "volume", "rounded")
 relation("rule_sums", f"SELECT id, {' + '.join(_POINTS)} AS points, {' + '.join(f'CASE WHEN {p} > 0 THEN 1 ELSE 0 END' for p in _POINTS)} AS n_flags FROM rule_points")
 relation("rule_risk", "SELECT id, CAST(least(points, 100) AS BIGINT) AS score, CAST(n_flags AS BIGINT) AS n_flags, CASE WHEN points >= 70 THEN 'CRITICAL' WHEN points >= 50 THEN 'HIGH' WHEN points >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM rule_sums")
-relation("name_override", "SELECT id, CASE WHEN contains(upper(id), 'DEALER') THEN 75 WHEN contains(upper(id), 'CRYPTO') THEN 88 WHEN contains(upper(id), 'RECRUITER') THEN 95 ELSE score END AS score, CASE WHEN contains(upper(id), 'DEALER') THEN 'HIGH' WHEN contains(upper(id), 'CRYPTO') OR contains(upper(id), 'RECRUITER') THEN 'CRITICAL' ELSE level END AS level FROM rule_risk")
+#: What an account's name says of its role, and the level and score that each screen gives to the role.
+_ROLES = {
+    "CRIMINAL": "contains({0}, 'CRIMINAL')",
+    "DEALER": "(contains({0}, 'DEALER') OR contains({0}, 'COLLECTOR'))",
+    "CRYPTO": "contains({0}, 'CRYPTO')",
+    "HAWALA": "(contains({0}, 'HAWALA') OR contains({0}, 'SHELL'))",
+    "RECRUITER": "contains({0}, 'RECR')",
+    "ACC_": "substring({0}, 1, 4) = 'ACC_'",
+}
+_USUAL = {"CRIMINAL": ("CRITICAL", 92), "DEALER": ("HIGH", 75), "CRYPTO": ("CRITICAL", 88), "HAWALA": ("MEDIUM", 58), "RECRUITER": ("MEDIUM", 55), "ACC_": ("CLEAR", 15)}
+OVERRIDES = {
+    "account": _USUAL,
+    "filter": _USUAL,
+    "dashboard": _USUAL,
+    "graph": _USUAL | {"DEALER": ("CRITICAL", 88), "CRYPTO": ("HIGH", 78)},
+    "temporal": dict(reversed((_USUAL | {"DEALER": ("CRITICAL", 90), "CRYPTO": ("HIGH", 75)}).items())),
+}
+#: What a screen shows of an account whose name says nothing, if it isn't the account's own: (condition, level, score).
+_OTHERWISE = {"dashboard": ("1 = 1", "'CLEAR'", 15), "graph": ("level = 'LOW'", "'CLEAR'", 15)}
+
+
+def _overridden(screen: str, risks: str) -> str:
+    """The first role of the screen that the name shows, in the order of its table, decides."""
+    cases = [(_ROLES[role].format("upper(id)"), f"'{level}'", score) for role, (level, score) in OVERRIDES[screen].items()]
+    cases += [_OTHERWISE[screen]] if screen in _OTHERWISE else []
+    pick = lambda i, own: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[i]}" for c in cases) + f" ELSE {own} END"
+    return f"SELECT '{screen}' AS screen, id, CAST({pick(2, 'score')} AS BIGINT) AS score, {pick(1, 'level')} AS level FROM {risks}"
+
+
+relation("name_override", " UNION ALL ".join(_overridden(s, "temporal_level" if s == "temporal" else "rule_risk") for s in OVERRIDES))
 relation("classify_ml", "SELECT r.id, CASE WHEN r.score >= 70 THEN 'CRITICAL' WHEN r.score >= 55 THEN 'HIGH' WHEN r.score >= 50 THEN 'MEDIUM' WHEN r.score >= 30 THEN 'LOW' ELSE 'CLEAR' END AS level, CASE WHEN r.score < 50 THEN 'N/A' WHEN f.forwarding_ratio > 0.9 AND f.rapid_transfer = 1 THEN 'WILLING' ELSE 'UNWITTING' END AS mule_type FROM rule_risk r JOIN feature_rows f ON r.id = f.id")
 relation(
     "flags_ml",
@@ -179,11 +220,45 @@ relation("alert_bodies", "SELECT * FROM (VALUES (70, 'I4C', 'HIGH'), (70, 'NCRP'
 relation("regulatory_alerts", "SELECT r.id, b.body, b.priority, r.score >= 50 AS str_required, r.score >= 85 AS freeze_required FROM rule_risk r JOIN alert_bodies b ON r.score >= b.least_score")
 relation("ml_account", f"SELECT * FROM graduated_response WHERE id = '{ACCOUNT}'")
 relation("own_ip", "SELECT a.id, coalesce(s.ip, r.ip) AS ip FROM all_accounts a LEFT JOIN (SELECT sender_id AS id, min_by(sender_ip, seq) AS ip FROM transfers GROUP BY sender_id) s ON a.id = s.id LEFT JOIN (SELECT receiver_id AS id, min_by(receiver_ip, seq) AS ip FROM transfers GROUP BY receiver_id) r ON a.id = r.id")
-relation("account_detail", f"SELECT a.*, o.ip, r.score, r.level FROM account_totals a JOIN own_ip o ON a.id = o.id JOIN name_override r ON a.id = r.id WHERE a.id = '{ACCOUNT}'")
+relation(
+    "account_detail",
+    f"""
+SELECT a.*, o.ip, r.score, r.level, coalesce(s.receivers, '') AS sent_to, coalesce(g.senders, '') AS received_from
+FROM account_totals a JOIN own_ip o ON a.id = o.id JOIN name_override r ON a.id = r.id AND r.screen = 'account'
+LEFT JOIN (SELECT sender_id AS id, $LIST[receiver_id || '#' || CAST(seq AS STRING)] AS receivers FROM transfers WHERE sender_id = '{ACCOUNT}' GROUP BY sender_id) s ON a.id = s.id
+LEFT JOIN (SELECT receiver_id AS id, $LIST[sender_id || '#' || CAST(seq AS STRING)] AS senders FROM transfers WHERE receiver_id = '{ACCOUNT}' GROUP BY receiver_id) g ON a.id = g.id
+WHERE a.id = '{ACCOUNT}'""",
+)
 relation("sink_export_accounts", "SELECT c.id, c.level, r.score, f.flags, CASE WHEN h.id IS NOT NULL THEN 1 ELSE 0 END AS hawala, CASE WHEN s.id IS NOT NULL THEN 1 ELSE 0 END AS shell FROM classify_ml c JOIN rule_risk r ON c.id = r.id JOIN flags_ml f ON c.id = f.id LEFT JOIN hawala h ON c.id = h.id LEFT JOIN shell_company s ON c.id = s.id WHERE c.level <> 'CLEAR'")
 relation("chain_of_custody", "SELECT replace(nodes, '|', ' → ') AS chain, n_hops FROM reverse_chain")
-relation("evidence_package", f"SELECT d.id, d.score, d.level, d.n_in, d.n_out, f.flags, (SELECT count(*) FROM reverse_chain) AS n_chains, (SELECT count(*) FROM regulatory_alerts WHERE id = '{ACCOUNT}') AS n_alerts FROM account_detail d JOIN flags_ml f ON d.id = f.id")
-relation("str_report", "SELECT id, score, 'STR-' || id AS report, CASE WHEN score >= 50 THEN 'SUBMIT' ELSE 'HOLD' END AS status FROM rule_risk")
-relation("fir_summary", "SELECT e.id, e.level, 'Account ' || e.id || ' received ' || CAST(e.n_in AS STRING) || ' and sent ' || CAST(e.n_out AS STRING) || ' transfers' AS summary FROM evidence_package e")
-relation("full_intelligence", " UNION ALL ".join(f"SELECT '{r}' AS report, count(*) AS n FROM {r}" for r in ("community", "coordination", "recruitment", "convergence", "identity_fusion", "hawala", "shell_company", "crypto_gateway")))
+# documents are JSON; what depends on the clock is left to the caller
+#: What is recommended at each level.
+_ACTIONS = "CASE c.level WHEN 'CRITICAL' THEN 'Immediate freeze + STR filing + ED/CBI referral' WHEN 'HIGH' THEN 'Account freeze + investigation + police referral' WHEN 'MEDIUM' THEN 'Enhanced monitoring + bank outreach + customer interview' WHEN 'LOW' THEN 'Watch list + periodic review' ELSE 'No action, continue standard monitoring' END"
+relation("judged_accounts", f"SELECT c.id, c.level, c.mule_type, r.score, f.flags, {_ACTIONS} AS action FROM classify_ml c JOIN rule_risk r ON c.id = r.id JOIN flags_ml f ON c.id = f.id")
+relation(
+    "str_report",
+    """
+SELECT id, $JSON['str_type', 'Mule Account Detection', 'subject_account', id, 'risk_score', score, 'risk_level', level, 'suspicious_indicators', flags, 'regulatory_body', 'FIU-IND',
+  'status', 'AUTO-GENERATED, requires human review before submission'] AS document FROM judged_accounts""",
+)
+relation(
+    "fir_summary",
+    f"""
+SELECT id, 'SUBJECT ACCOUNT: ' || id || chr(10) || 'CLASSIFICATION: ' || level || ', ' || mule_type || chr(10) || 'RISK SCORE: ' || CAST(score AS STRING) || '/100' || chr(10)
+  || 'SUSPICIOUS BEHAVIOR DETECTED: ' || flags || chr(10) || 'FUND FLOW CHAINS IDENTIFIED: ' || CAST((SELECT count(*) FROM reverse_chain) AS STRING) || chr(10) || 'RECOMMENDED ACTION: ' || action AS summary
+FROM judged_accounts WHERE id = '{ACCOUNT}'""",
+)
+relation("account_alerts", f"SELECT $LIST[body || ':' || priority] AS alerts FROM regulatory_alerts WHERE id = '{ACCOUNT}'")
+relation("account_chains", "SELECT $LIST[chain] AS chains, count(*) AS n FROM chain_of_custody")
+relation(
+    "evidence_package",
+    f"""
+SELECT j.id, $JSON['account_summary', $OBJECT['account_id', j.id, 'risk_score', j.score, 'risk_level', j.level, 'mule_classification', j.mule_type, 'recommended_action', j.action],
+  'analysis', $OBJECT['behavioral_flags', j.flags, 'incoming', t.n_in, 'outgoing', t.n_out],
+  'graph_intelligence', $OBJECT['inbound_hub', coalesce(h.threat, 'NONE'), 'shared_addresses', (SELECT count(*) FROM identity_fusion WHERE account1 = '{ACCOUNT}' OR account2 = '{ACCOUNT}')],
+  'chain_of_custody', $OBJECT['total_chains', k.n, 'fund_flow_chains', k.chains], 'regulatory_output', a.alerts, 'str_report', s.document, 'fir_summary', f.summary] AS document
+FROM judged_accounts j JOIN account_totals t ON j.id = t.id JOIN str_report s ON j.id = s.id JOIN fir_summary f ON j.id = f.id LEFT JOIN community h ON j.id = h.hub
+CROSS JOIN account_chains k CROSS JOIN account_alerts a WHERE j.id = '{ACCOUNT}'""",
+)
+relation("full_intelligence", " UNION ALL ".join(f"SELECT '{r}' AS report, count(*) AS n FROM {r}" for r in ("community", "coordination", "recruitment", "convergence", "identity_fusion", "hawala", "shell_company", "crypto_gateway", "reverse_chain")))
 relation("scalar_samples", "SELECT id, upper(id) AS up, lower(id) AS low, substring(id, 4, 3) AS part, CAST(length(id) AS BIGINT) AS len, round(forwarding_ratio, 3) AS r3, CAST(floor(total_outgoing / 10000) AS BIGINT) AS tens, $INT[total_outgoing] AS whole, round(log2(total_incoming + 1), 6) AS bits, round(sqrt(abs(total_outgoing - total_incoming)), 4) AS root, least(forwarding_ratio, 10) < 1 AS below FROM feature_rows")

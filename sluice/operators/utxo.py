@@ -14,7 +14,7 @@ MIN_SWEEP, MAX_IPS, MIN_REUSE = 5, 5, 2.0
 
 # sources and set operations
 relation("src_tx_csv", "SELECT seq, txid, wallet, CASE WHEN role = 'input' THEN 'input' ELSE 'output' END AS role, amount, t FROM legs")
-relation("src_tx_raw", "SELECT wallet, sum(fee) AS fees, count(DISTINCT script_type) AS n_scripts, count(*) AS n FROM legs GROUP BY wallet")
+relation("src_tx_raw", "SELECT seq, txid, wallet, role, amount, t, fee + 0 AS fee, script_type FROM legs")
 relation("src_relay_csv", "SELECT txid, max_by(src_ip, seq) AS ip FROM relay GROUP BY txid")
 relation("src_ground_truth", "SELECT entity_id, entity_type, is_illicit, count(*) AS n_wallets FROM truth GROUP BY entity_id, entity_type, is_illicit")
 relation("src_coinjoin_truth", "SELECT txid FROM truth_coinjoin")
@@ -212,13 +212,30 @@ SELECT wallet, round(CAST(direct AS DOUBLE), 2) AS direct, round(CAST(spread AS
 relation("classify_tier", "SELECT tier, min(final) AS lowest, max(final) AS highest FROM final_scores GROUP BY tier")
 relation("tier_counts", "SELECT tier, count(*) AS n FROM final_scores GROUP BY tier")
 relation("topn_risk", "SELECT wallet, final, tier FROM final_scores ORDER BY final DESC, wallet LIMIT 100")
-relation("page_risk", "SELECT wallet, final, tier, (SELECT count(*) FROM final_scores) AS total FROM final_scores ORDER BY final DESC, wallet LIMIT 50 OFFSET 50")
+#: The page of the risk table that is registered.
+PAGE, PAGE_FROM = 50, 50
+relation(
+    "page_risk",
+    f"""
+SELECT wallet, final, tier, total, total > {PAGE_FROM + PAGE} AS has_more, CASE WHEN total > {PAGE_FROM + PAGE} THEN CAST({PAGE_FROM + PAGE} AS BIGINT) END AS next_offset
+FROM (SELECT wallet, final, tier, (SELECT count(*) FROM final_scores) AS total FROM final_scores ORDER BY final DESC, wallet LIMIT {PAGE} OFFSET {PAGE_FROM})""",
+)
 relation("top10_critical", "SELECT wallet, final FROM final_scores WHERE tier = 'CRITICAL' ORDER BY final DESC, wallet LIMIT 10")
 relation("filter_tier", "SELECT wallet, final FROM final_scores WHERE tier = upper('high')")
 relation("filter_wallet_regex", "SELECT wallet, $LIKE['bc1q' || substring($SHA[wallet], 1, 20) ;; ^bc1[a-z0-9]{10,80}$] AS valid, $LIKE[wallet ;; ^bc1[a-z0-9]{10,80}$] AS raw_valid FROM all_wallets")
 relation("membership_counts", "SELECT w.wallet, coalesce(c.n, 0) AS n_chains, coalesce(s.n, 0) AS n_sweeps FROM all_wallets w LEFT JOIN (SELECT wallet, count(DISTINCT root) AS n FROM chain_wallets GROUP BY wallet) c ON w.wallet = c.wallet LEFT JOIN (SELECT wallet, count(DISTINCT txid) AS n FROM sweep_wallets GROUP BY wallet) s ON w.wallet = s.wallet")
 relation("export_membership", "SELECT f.wallet, f.final, f.tier, m.n_chains, m.n_sweeps FROM final_scores f JOIN membership_counts m ON f.wallet = m.wallet")
-relation("wallet_detail", "SELECT e.*, coalesce(i.n_senders, 0) AS n_senders FROM export_membership e LEFT JOIN sender_counts i ON e.wallet = i.wallet WHERE e.wallet = 'wp0_0'")
+#: The wallet that single-wallet relations are about.
+WALLET = "wp0_0"
+# its score, its chains and its sweeps; a wallet that is unknown has no rows
+relation(
+    "wallet_detail",
+    f"""
+SELECT 'score' AS part, tier AS ref, final AS value, CAST(1 AS BIGINT) AS n FROM final_scores WHERE wallet = '{WALLET}'
+UNION ALL SELECT 'chain', p.root, p.confidence, p.n_hops FROM peeling_chains p JOIN (SELECT DISTINCT root FROM chain_wallets WHERE wallet = '{WALLET}') c ON p.root = c.root
+UNION ALL SELECT 'sweep', d.txid, d.confidence, d.input_count FROM darknet_sweeps d JOIN (SELECT DISTINCT txid FROM sweep_wallets WHERE wallet = '{WALLET}') s ON d.txid = s.txid
+UNION ALL SELECT 'senders', wallet, CAST(n_senders AS DOUBLE), n_senders FROM sender_counts WHERE wallet = '{WALLET}'""",
+)
 relation("status_counts", "SELECT 'transactions' AS what, count(*) AS n FROM tx_shape UNION ALL SELECT 'wallets', count(*) FROM all_wallets UNION ALL SELECT 'chains', count(*) FROM peeling_chains UNION ALL SELECT 'sweeps', count(*) FROM darknet_sweeps")
 relation(
     "flow_roles",
@@ -300,17 +317,17 @@ SELECT l.wallet, count(*) AS event_count, round(coalesce(max(g.g) * 3600, 0), 4)
   round(count_if(role <> 'input') / CAST(count(*) AS DOUBLE), 6) AS fanout_ratio, coalesce(max(i.n), 0) AS ip_reuse_degree, round(max(h.herfindahl), 6) AS hour_concentration
 FROM legs l JOIN wallet_sums s ON l.wallet = s.wallet JOIN hour_counts h ON l.wallet = h.wallet LEFT JOIN gap_means g ON l.wallet = g.wallet LEFT JOIN ip_reuse i ON l.wallet = i.wallet GROUP BY l.wallet""",
 )
-relation("filter_min_events", "SELECT event_count >= 3 AS included, count(*) AS n FROM fingerprints GROUP BY event_count >= 3")
+relation("filter_min_events", "SELECT wallet, event_count, event_count >= 3 AS included FROM fingerprints")
 relation("join_left_features", "SELECT f.wallet, f.event_count, coalesce(a.total_in, 0) AS total_in, coalesce(a.std_amount, 0) AS std_amount FROM fingerprints f LEFT JOIN (SELECT * FROM wallet_features_api WHERE num_in_txns > 1) a ON f.wallet = a.wallet")
-_COLS = ("total_in", "total_out", "net_flow", "num_in_txns", "num_out_txns", "avg_amount_in", "avg_amount_out", "std_amount", "time_span_hrs", "avg_inter_tx_hrs", "unique_counterparties", "fee_ratio", "script_type_diversity")
-relation("feature_moments", "SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s, min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in _COLS) + " FROM wallet_features_api")
-relation("standardize", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_m) / CASE WHEN {c}_s > 1e-9 THEN {c}_s ELSE 1 END, 5) AS {c}" for c in _COLS) + " FROM wallet_features_api CROSS JOIN feature_moments")
-relation("minmax", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_lo) / CAST(CASE WHEN {c}_hi > {c}_lo THEN {c}_hi - {c}_lo ELSE 1 END AS DOUBLE), 6) AS {c}" for c in _COLS) + " FROM wallet_features_api CROSS JOIN feature_moments")
+FEATURES = ("total_in", "total_out", "net_flow", "num_in_txns", "num_out_txns", "avg_amount_in", "avg_amount_out", "std_amount", "time_span_hrs", "avg_inter_tx_hrs", "unique_counterparties", "fee_ratio", "script_type_diversity")
+relation("feature_moments", "SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s, min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in FEATURES) + " FROM wallet_features_api")
+relation("standardize", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_m) / CASE WHEN {c}_s > 1e-9 THEN {c}_s ELSE 1 END, 5) AS {c}" for c in FEATURES) + " FROM wallet_features_api CROSS JOIN feature_moments")
+relation("minmax", "SELECT wallet, " + ", ".join(f"round(({c} - {c}_lo) / CAST(CASE WHEN {c}_hi > {c}_lo THEN {c}_hi - {c}_lo ELSE 1 END AS DOUBLE), 6) AS {c}" for c in FEATURES) + " FROM wallet_features_api CROSS JOIN feature_moments")
 relation("anomaly_ranks", "SELECT wallet, total_in, row_number() OVER (ORDER BY total_in DESC, wallet) AS n, count(*) OVER () AS total FROM wallet_features_api")
 relation("anomaly_top_pct", "SELECT wallet, total_in FROM anomaly_ranks WHERE n <= greatest(1, floor(total * 0.05))")
 relation("score_enrich", "SELECT f.wallet, f.final, coalesce(z.total_in, 0) AS anomaly_like, coalesce(g.send_countries, '') AS geo_countries, coalesce(g.asns, '') AS asns FROM final_scores f LEFT JOIN standardize z ON f.wallet = z.wallet LEFT JOIN wallet_geo g ON f.wallet = g.wallet")
 relation("ml_blend", "SELECT f.wallet, round(0.7 * f.final + 0.3 * 100 * m.total_out, 6) AS blended FROM final_scores f JOIN minmax m ON f.wallet = m.wallet")
 relation("sink_export_flagged", "SELECT e.wallet, e.final, e.tier, e.n_chains, e.n_sweeps, coalesce(g.send_countries, '') AS geo_countries, coalesce(g.asns, '') AS asns FROM export_membership e LEFT JOIN wallet_geo g ON e.wallet = g.wallet WHERE e.tier <> 'CLEAR'")
-relation("top_abs_features", "SELECT wallet, feature, z FROM (SELECT wallet, feature, z, row_number() OVER (PARTITION BY wallet ORDER BY abs(z) DESC, feature) AS n FROM (" + " UNION ALL ".join(f"SELECT wallet, '{c}' AS feature, {c} AS z FROM standardize" for c in _COLS) + ")) WHERE n <= 5")
+relation("top_abs_features", "SELECT wallet, feature, z FROM (SELECT wallet, feature, z, row_number() OVER (PARTITION BY wallet ORDER BY abs(z) DESC, feature) AS n FROM (" + " UNION ALL ".join(f"SELECT wallet, '{c}' AS feature, {c} AS z FROM standardize" for c in FEATURES) + ")) WHERE n <= 5")
 relation("bar_norm", "SELECT feature, round(100 * m / max(m) OVER (), 4) AS pct FROM (SELECT feature, avg(abs(z)) AS m FROM top_abs_features GROUP BY feature)")
 relation("top_shap", "SELECT feature, m FROM (SELECT feature, round(avg(abs(z)), 5) AS m FROM top_abs_features GROUP BY feature) ORDER BY m DESC, feature LIMIT 15")

@@ -24,12 +24,12 @@ from sluice.session import written
 ROUNDED = {"value_flow_edges": "flow_weights", "score_chain": "chain_scores", "score_sweep": "sweep_scores", "jaccard": "jaccards"}
 #: Steps on the way, that no analyst asks for by themselves or whose unrounded sums depend on the order of adding.
 INTERNAL = {"event_windows", "event_runs", "run_gaps", "sent", "received", "feature_rows", "passed_on", "gap_means", "wallet_sums", "hour_counts", "feature_moments", "ranks", "score_parts"}
-INTERNAL |= {"restarts", "transition", "chain_gaps", "tx_shape", "peel_candidates", "peel_ranked", "ece_bins", "scored_truth", "auc_ranks", "hub_in", "hub_out", "sent_stats", "cluster_purity"}
-INTERNAL |= {"vectors", "query_vectors", "shadow_pairs", "shadow_ranked", "sim_level", "nums", "owners", "steps", "legs_raw", "relay_raw", "n_customers", "accounts_geo", "ordered_items", "placed_orders", "transfers_numbered", "urgencies", "transfers_raw", "owner_reach", "path_steps", "trail_1", "trail_2", "trail_3", "trail_4", "trail_5", "event_times", "received_bins", "read_items", "read_orders", "own_watched", "ratio_ranks", "anomaly_ranks", "total_ranks", "known_totals", "tx_wallets", "wallet_txs", "co_many", "ip_sets", "ip_set_members", "ip_set_reach", *(f"rank_{i}" for i in range(1, PPR_CHECKED + 1))}
+INTERNAL |= {"restarts", "transition", "chain_gaps", "tx_shape", "peel_candidates", "peel_ranked", "ece_bins", "scored_truth", "hub_in", "hub_out", "sent_stats", "cluster_purity"}
+INTERNAL |= {"vectors", "query_vectors", "shadow_pairs", "shadow_ranked", "sim_level", "nums", "owners", "steps", "legs_raw", "relay_raw", "n_customers", "accounts_geo", "ordered_items", "placed_orders", "transfers_numbered", "urgencies", "transfers_raw", "owner_reach", "path_steps", "trail_1", "trail_2", "trail_3", "trail_4", "trail_5", "event_times", "received_bins", "read_items", "read_orders", "own_watched", "ratio_ranks", "anomaly_ranks", "value_ranks", "known_values", "tie_ranks", "feature_sums", "binary_counts", "score_levels", "level_sums", "score_curves", "coinjoin_counts", "own_address", "filter_transfers_edges", "filter_sender_edges", "judged_accounts", "account_alerts", "account_chains", "tx_wallets", "wallet_txs", "co_many", "ip_sets", "ip_set_members", "ip_set_reach", *(f"rank_{i}" for i in range(1, PPR_CHECKED + 1))}
 
 
 #: Global ranks: the relation whose rows are numbered, and the order.
-NUMBERED = {"ratio_ranks": ("risk_ratio", ("ratio", "wallet")), "anomaly_ranks": ("wallet_features_api", ("-total_in", "wallet")), "total_ranks": ("known_totals", ("total_in", "wallet"))}
+NUMBERED = {"ratio_ranks": ("risk_ratio", ("ratio", "wallet")), "anomaly_ranks": ("wallet_features_api", ("-total_in", "wallet")), "value_ranks": ("known_values", ("feature", "value", "wallet"))}
 
 
 def iterative(spark: SparkSession, name: str, sf_dir: str | None, given: dict[str, DataFrame], ppr_rounds: int, memo: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -28,6 +28,8 @@ MACROS = {
     # amounts have two decimals: their sum as decimals doesn't depend on the order of adding
     "EXACT": ("CAST(sum(CAST({0} AS DECIMAL(18, 2))) AS DOUBLE)", "CAST(sum(CAST({0} AS DECIMAL(18, 2))) AS DOUBLE)"),
     "STEPS": ("explode(sequence({0}, {1}))", "unnest(generate_series({0}, {1}))"),
+    "JSON": ("to_json(named_struct({0}))", "CAST(json_object({0}) AS VARCHAR)"),
+    "OBJECT": ("named_struct({0})", "json_object({0})"),
     "SHA": ("sha2({0}, 256)", "sha256({0})"),
 }
 _MACRO = re.compile(r"\$([A-Z]+)\[((?:[^\[\]]|\[[^\[\]]*\])*)\]")
