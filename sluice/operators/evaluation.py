@@ -54,8 +54,8 @@ relation("freeze_tier", "SELECT count(*) AS n, coalesce(CAST(sum(y) AS BIGINT),
 relation("known_values", " UNION ALL ".join(f"SELECT z.wallet, '{c}' AS feature, z.{c} + 0 AS value, i.illicit FROM standardize z JOIN illicit_wallets i ON z.wallet = i.wallet" for c in FEATURES))
 relation("value_ranks", "SELECT wallet, feature, value, illicit, row_number() OVER (ORDER BY feature, value, wallet) AS n FROM known_values")
 relation("tie_ranks", "SELECT feature, value, avg(CAST(n AS DOUBLE)) AS r, min(n) AS first_n, count(*) AS n, count_if(illicit = 1) AS pos FROM value_ranks GROUP BY feature, value")
-relation("feature_sums", "SELECT feature, sum(pos * r) AS ranks, CAST(min(first_n) - 1 AS DOUBLE) AS before, CAST(sum(pos) AS DOUBLE) AS n1, CAST(sum(n - pos) AS DOUBLE) AS n0 FROM tie_ranks GROUP BY feature")
-relation("univariate_auc", "SELECT feature, round(greatest(a, 1 - a), 7) AS auc FROM (SELECT feature, (ranks - before * n1 - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0) AS a FROM feature_sums)")
+relation("feature_sums", "SELECT feature, sum(pos * r) AS rank_total, CAST(min(first_n) - 1 AS DOUBLE) AS before, CAST(sum(pos) AS DOUBLE) AS n1, CAST(sum(n - pos) AS DOUBLE) AS n0 FROM tie_ranks GROUP BY feature")
+relation("univariate_auc", "SELECT feature, round(greatest(a, 1 - a), 7) AS auc FROM (SELECT feature, (rank_total - before * n1 - n1 * (n1 + 1) / 2) / nullif(n1 * n0, 0) AS a FROM feature_sums)")
 relation("missed", "SELECT t.wallet, t.entity_type FROM truth t JOIN final_scores f ON t.wallet = f.wallet WHERE t.is_illicit AND f.tier NOT IN ('CRITICAL', 'HIGH')")
 relation("gap_diag_peel", "SELECT CASE WHEN h.src IS NOT NULL THEN 'hop, chain too short' WHEN s.wallet IS NULL THEN 'never spent' WHEN p.first_input IS NULL THEN 'no single-input spend' ELSE 'spend forms no hop' END AS bucket, count(DISTINCT m.wallet) AS n FROM missed m LEFT JOIN find_peel_hops h ON m.wallet = h.src LEFT JOIN ever_spent s ON m.wallet = s.wallet LEFT JOIN (SELECT DISTINCT first_input FROM tx_shape WHERE n_in = 1) p ON m.wallet = p.first_input WHERE m.entity_type LIKE 'peeling%' GROUP BY 1")
 relation("gap_diag_ransom", "SELECT CASE WHEN c.wallet IS NULL THEN 'no relayed sender' WHEN c.n_senders < 3 THEN 'fewer than 3 senders' WHEN i.most < 3 THEN 'no shared address' ELSE 'seeded, score below HIGH' END AS bucket, count(DISTINCT m.wallet) AS n FROM missed m LEFT JOIN sender_counts c ON m.wallet = c.wallet LEFT JOIN ransom_ips i ON m.wallet = i.wallet WHERE m.entity_type = 'ransomware_collector' GROUP BY 1")
