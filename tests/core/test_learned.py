@@ -60,3 +60,42 @@ def test_registered_models_have_all_trees(spark, sf, monkeypatch):
     learned.ensemble_wide(spark, sf).count()
     learned.elliptic_bench(spark, sf).count()
     assert asked == [("boosted", 200), ("deep", 200), ("forest", 100)] * 2
+
+
+def test_figures_against_plain_counts(spark):
+    rng = np.random.default_rng(8)
+    y, p = rng.integers(0, 2, 300), rng.integers(0, 41, 300) / 40
+    got = ml.binary_figures(spark.createDataFrame([(float(a), float(b)) for a, b in zip(y, p, strict=True)], "label double, p double")).first()
+    ones, zeros = p[y == 1], p[y == 0]
+    assert np.isclose(got["auroc"], ((ones[:, None] > zeros).sum() + (ones[:, None] == zeros).sum() / 2) / (len(ones) * len(zeros)))
+    want, before = 0.0, 0
+    for cut in sorted(set(p), reverse=True):
+        want, before = want + ((ones >= cut).sum() - before) / len(ones) * (ones >= cut).sum() / (p >= cut).sum(), (ones >= cut).sum()
+    bins = np.maximum(np.ceil(np.round(p * 10, 5)), 1)
+    ece = sum(abs(p[bins == b].mean() - y[bins == b].mean()) * (bins == b).mean() for b in set(bins))
+    assert np.isclose(got["auprc"], want) and np.isclose(got["ece"], ece) and np.isclose(got["brier"], ((p - y) ** 2).mean())
+    assert (got["tp"], got["fp"], got["fn"], got["tn"]) == ((ones >= 0.4).sum(), (zeros >= 0.4).sum(), (ones < 0.4).sum(), (zeros < 0.4).sum())
+    none = ml.binary_figures(spark.createDataFrame([(1.0, 0.5)], "label double, p double")).first()
+    assert none["auroc"] is None and none["auprc"] == 1.0
+
+
+def test_levels_of_the_ensemble(spark):
+    rows = [("a", 70.0, 0.95, 1), ("b", 69.99, 0.95, 0), ("c", 50.0, 0.9, 1), ("d", 49.9, 0.99, 1), ("e", 29.0, 0.0, 0)]
+    got = {r["id"]: (r["level"], r["mule_type"]) for r in learned.levels_of(spark.createDataFrame(rows, "id string, score double, forwarding_ratio double, rapid_transfer int")).collect()}
+    assert got == {"a": ("CRITICAL", "WILLING"), "b": ("HIGH", "UNWITTING"), "c": ("MEDIUM", "UNWITTING"), "d": ("LOW", "N/A"), "e": ("CLEAR", "N/A")}
+
+
+def test_models_reach_levels_and_sinks(spark, sf, monkeypatch):
+    classifier = ml._classifier
+    monkeypatch.setattr(ml, "_classifier", lambda kind, trees: classifier(kind, 2))
+    levels = learned.ensemble_levels(spark, sf)
+    assert levels.count() == learned._ask(spark, sf, "all_accounts").count() and {"level", "action", "flags"} <= set(levels.columns)
+    found = {r["model"]: r for r in learned.sink_elliptic_results(spark, sf).collect()}
+    assert set(found) == {"boosted", "deep", "forest", "isolation"}
+    assert len({r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in found.values()}) == 1 and all(0 <= r["f1"] <= 1 for r in found.values())
+
+
+def test_wide_table_and_its_list(spark, sf):
+    wide = learned.src_wide_features(spark, sf)
+    assert [r["feature"] for r in learned.src_feature_list(spark, sf).collect()] == learned.ACCOUNT == wide.columns[1:-1]
+    assert wide.count() == learned._labelled(spark, sf).count()
