@@ -321,7 +321,8 @@ def repeated_spans(base: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
         where = F.struct("uid", "at")
         least = written(strings.groupBy("x", "y").agg(one, F.min(where).alias("earliest")).where("c > 1"))
         strings_again = join_back(strings, least, ["x", "y"], _total(least)).where(where != F.col("earliest"))
-        spans = spans.unionByName(strings_again.select("uid", "at").mapInArrow(_join_runs, _SPANS))
+        in_order = strings_again.select("uid", "at").repartition("uid").sortWithinPartitions("uid", "at")  # so a text's strings join to few runs
+        spans = spans.unionByName(in_order.mapInArrow(_join_runs, _SPANS))
         held += [strings, least]
     out = written(spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
     drop(*held)
