@@ -35,7 +35,7 @@ SPAN = LENGTH - START + 1
 #: Bytes that are worked on at a time; longer texts go in overlapping pieces.
 PIECE = 1 << 20
 #: Contexts of one rank, above which their positions are ranked by Spark instead of within one task.
-HOT_CONTEXTS = 10_000
+HOT_CONTEXTS = 1000
 #: Bytes of contexts that a task ranks at a time, at least; a rank's contexts stay together.
 STRETCH = 1 << 20
 _U = np.uint64
