@@ -257,7 +257,8 @@ def _rank_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each string of hot contexts: its rank of 100 as the pair of ranks of 50 at offset 50."""
+    """The strings of hot contexts by their rank of 100, the pair (x, y) of ranks of 50 at offset 50: of a few thousand contexts
+    the first of each rank with an empty end, and what repeats it as spans, already joined to runs."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             some = batch.slice(lo, 4096)
@@ -268,8 +269,39 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = np.repeat(np.arange(len(size)), n)
             inner = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             at = begin[row] + inner
-            halves = [hashes.of(at + k, at + k + LENGTH // 2).view(np.int64) for k in (0, LENGTH // 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(halves[0]), pa.array(halves[1]), pa.array(some.column("uid").to_numpy()[row]), pa.array(some.column("first").to_numpy()[row] + inner)], names=["x", "y", "uid", "at"])
+            x, y = (hashes.of(at + k, at + k + LENGTH // 2).view(np.int64) for k in (0, LENGTH // 2))
+            uid, where = some.column("uid").to_numpy()[row], some.column("first").to_numpy()[row] + inner
+            order = np.lexsort((where, uid, y, x))
+            x, y, uid, where = x[order], y[order], uid[order], where[order]
+            leads = _leads(x, y)
+            again = (uid != uid[leads]) | (where != where[leads])
+            first = leads == np.arange(len(x))
+            found = (*runs(uid[again], where[again]),)
+            none = pa.nulls(len(found[0]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *(pa.array(v, pa.int64()) for v in found)], names=["x", "y", "uid", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v[first]) for v in (x, y, uid, where)), pa.nulls(int(first.sum()), pa.int64())], names=["x", "y", "uid", "start", "end"])
+
+
+def _leads(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of sorted pairs the number of the first row that is equal."""
+    new = np.concatenate([np.ones(min(1, len(x)), bool), (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+    return np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+
+
+def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (x, y, uid, at): those that aren't the first of their rank."""
+    last = None
+    for batch in batches:
+        x, y, uid, at = (batch.column(c).to_numpy() for c in ("x", "y", "uid", "at"))
+        if not len(x):
+            continue
+        leads = _leads(x, y)
+        lead_uid, lead_at = uid[leads], at[leads]
+        if last is not None and last[:2] == (x[0], y[0]):  # the batch goes on with the rank of the one before
+            lead_uid, lead_at = np.where(leads == 0, last[2], lead_uid), np.where(leads == 0, last[3], lead_at)
+        last = x[-1], y[-1], lead_uid[-1], lead_at[-1]
+        again = (uid != lead_uid) | (at != lead_at)  # rows that are one text start a string at the same place
+        yield pa.RecordBatch.from_arrays([pa.array(uid[again]), pa.array(at[again])], names=["uid", "at"])
 
 
 def _join_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +315,8 @@ def repeated_spans(base: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     that may overlap or touch. ``base``: (uid, text) with unique uids whose order decides what is earlier.
 
     Ranks are counted by minima and maxima that are combined before the shuffle; ``join_back`` brings them back to the
-    positions and deals out the rows of a very frequent rank. Tables are deleted as soon as the next one is written.
+    positions and deals out the rows of a very frequent rank. Strings of hot contexts are joined with nothing: a few thousand contexts keep
+    the first of each string, and what Spark sorts has it once for each of those. Tables are deleted as soon as the next one is written.
     """
     spark = base.sparkSession
     place, one = F.struct("uid", "first"), F.count(F.lit(1)).alias("c")
@@ -317,13 +350,13 @@ def repeated_spans(base: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     spans = rows.where("NOT mixed").select(*span).unionByName(mixed.where("again").select(*span)).unionByName(inside)
     held = [rows, mixed, contexts]
     if some_hot:
-        strings = written(contexts.where("hot").mapInArrow(_names, "x long, y long, uid long, at long"))
-        where = F.struct("uid", "at")
-        least = written(strings.groupBy("x", "y").agg(one, F.min(where).alias("earliest")).where("c > 1"))
-        strings_again = join_back(strings, least, ["x", "y"], _total(least)).where(where != F.col("earliest"))
-        in_order = strings_again.select("uid", "at").repartition("uid").sortWithinPartitions("uid", "at")  # so a text's strings join to few runs
+        strings = written(contexts.where("hot").mapInArrow(_names, "x long, y long, uid long, start long, end long"))
+        spans = spans.unionByName(strings.where("end IS NOT NULL").select("uid", "start", "end"))
+        firsts_of = strings.where("end IS NULL").select("x", "y", "uid", F.col("start").alias("at"))
+        later = firsts_of.repartition("x", "y").sortWithinPartitions("x", "y", "uid", "at").mapInArrow(_later, "uid long, at long")
+        in_order = later.repartition("uid").sortWithinPartitions("uid", "at")  # so a text's strings join to few runs
         spans = spans.unionByName(in_order.mapInArrow(_join_runs, _SPANS))
-        held += [strings, least]
+        held.append(strings)
     out = written(spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
     drop(*held)
     release(spark)

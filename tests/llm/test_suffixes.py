@@ -104,3 +104,29 @@ def test_deduplicated_cuts_whole_characters(spark):
     out = sorted(map(tuple, suffixes.deduplicated(docs).collect()))
     assert out == [(1, "s", "é" + "b" * 21, 22), (2, "t", "è!", 2), (3, None, "", 0)] or out[1] == (2, "t", "è!", 2)
     assert suffixes.deduplicated(docs).columns == docs.columns and suffixes.deduplicated(docs.limit(0)).collect() == []
+
+
+def test_hot_strings_are_sorted_and_not_joined(spark, monkeypatch):
+    """Of the strings of hot contexts only the first of some thousand contexts goes on, and no join carries them all."""
+    joined, whole = [], suffixes.join_back
+    monkeypatch.setattr(suffixes, "join_back", lambda rows, groups, keys, *more: joined.append(keys) or whole(rows, groups, keys, *more))
+    rng = np.random.default_rng(4)
+    passage = "".join(rng.choice(list("abcdefgh "), 160))
+    rows = [(i, "".join(rng.choice(list("abcdefgh"), 30)) + passage[i % 7 :] + "".join(rng.choice(list("abcdefgh"), 30))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert got(suffixes.suffix_dedup(docs, hot_contexts=1)) == brute(rows)
+    assert joined and ["x", "y"] not in joined
+
+
+def test_later_strings_over_batches():
+    import pyarrow as pa
+
+    rows = sorted({(x, y, u, a) for x, y, u, a in np.random.default_rng(7).integers(0, 4, (200, 4)).tolist()})
+    rows = sorted(rows + rows[:9])
+    names = ["x", "y", "uid", "at"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 5], strict=True)], names=names) for i in range(0, len(rows), 5)]
+    out = [r for b in suffixes._later(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    first = {}
+    for r in rows:
+        first.setdefault(r[:2], r[2:])
+    assert out == [r[2:] for r in rows if r[2:] != first[r[:2]]]
