@@ -39,6 +39,26 @@ def test_pagerank_sums_to_one_and_equals_numpy(spark):
     assert np.allclose([got[str(i)] for i in range(n)], np.array(want).T) and np.isclose(sum(v[0] for v in got.values()), 1)
 
 
+def test_pagerank_reads_only_what_is_still_reached(spark, monkeypatch):
+    """A graph whose longest path has two edges is through after two rounds; cycles go on beyond the tables that are kept."""
+    made, whole = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df: made.append(1) or whole(df))
+    restarts = spark.createDataFrame([(c, 0.25, 0.25) for c in "abcd"], "wallet string, seeded double, flat double")
+    line = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, p double")
+    p = np.zeros((4, 4))
+    p[0, 1] = p[1, 2] = 1
+    for edges, kept in ((line, 20), (line.union(spark.createDataFrame([("c", "a", 1.0)], line.schema)), 3)):
+        if kept == 3:
+            p[2, 0] = 1
+        rank = np.full(4, 0.25)
+        for _ in range(60):
+            rank = 0.85 * rank @ p + (0.15 + 0.85 * rank[p.sum(axis=1) == 0].sum()) / 4
+        made.clear()
+        got = {r["wallet"]: (r["seeded"], r["flat"]) for r in graph.personalized_pagerank(edges, restarts, kept=kept).collect()}
+        assert np.allclose([got[w] for w in "abcd"], np.array([rank, rank]).T / rank.sum(), atol=1e-12)
+        assert kept == 3 or len(made) <= 6
+
+
 def test_paths_and_trails(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "a", "c"), (4, "c", "d"), (5, "d", "a"), (6, "a", "c")], "seq long, src string, dst string")
     assert [(r["node"], r["edge"]) for r in graph.path_bfs(edges, "a", "d").orderBy("pos").collect()] == [("a", None), ("c", 3), ("d", 4)]
