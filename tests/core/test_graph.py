@@ -59,6 +59,25 @@ def test_pagerank_reads_only_what_is_still_reached(spark, monkeypatch):
         assert kept == 3 or len(made) <= 6
 
 
+def test_convergence_writes_no_pairs(spark, monkeypatch):
+    """Counts of sources equal those of the pairs, by broadcast and beyond its bound; pairs are only made beyond it."""
+    rng = np.random.default_rng(11)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 60, (90, 2))] + [(None, "n1"), ("n2", None)]
+    transfers = spark.createDataFrame(pairs, "sender_id string, receiver_id string")
+    near = {(a, b) for a, b in pairs if a and b}
+    reach, now = set(near), near
+    for _ in range(2):
+        now = {(a, d) for a, b in now for c, d in near if b == c}
+        reach |= now
+    want = {d: len({a for a, b in reach if b == d}) for _, d in reach}
+    made, whole = [], graph.hops_between
+    monkeypatch.setattr(graph, "hops_between", lambda *a: made.append(1) or whole(*a))
+    for bound in (graph.BROADCAST_EDGES, 0):
+        monkeypatch.setattr(graph, "BROADCAST_EDGES", bound)
+        got = {r["id"]: r["sources"] for r in registry.run(spark, "convergence", transfers=transfers).collect()}
+        assert got == {d: n for d, n in want.items() if n >= 3} and len(made) == (bound == 0)
+
+
 def test_paths_and_trails(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (2, "b", "c"), (3, "a", "c"), (4, "c", "d"), (5, "d", "a"), (6, "a", "c")], "seq long, src string, dst string")
     assert [(r["node"], r["edge"]) for r in graph.path_bfs(edges, "a", "d").orderBy("pos").collect()] == [("a", None), ("c", 3), ("d", 4)]
