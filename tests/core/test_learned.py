@@ -99,3 +99,28 @@ def test_wide_table_and_its_list(spark, sf):
     wide = learned.src_wide_features(spark, sf)
     assert [r["feature"] for r in learned.src_feature_list(spark, sf).collect()] == learned.ACCOUNT == wide.columns[1:-1]
     assert wide.count() == learned._labelled(spark, sf).count()
+
+
+def test_copies_and_one_large_component_need_few_comparisons(spark, monkeypatch):
+    """Rows beyond the first block are held against others only where they aren't in the large component, and once for all copies."""
+    monkeypatch.setattr(ml, "BLOCK", 16)
+    rng = np.random.default_rng(13)
+    x = np.concatenate([np.array([9.0, 0, 0, 0]) + rng.normal(0, 1, (300, 4)), np.array([0, 9.0, 0, 0]) + rng.normal(0, 0.5, (8, 4)), rng.normal(0, 1, (6, 4))])
+    x = np.concatenate([x, np.repeat(x[-3:], 40, axis=0)])
+    asked, whole = [], ml._forest_links
+    monkeypatch.setattr(ml, "_forest_links", lambda block, rows, cut: asked.append(len(block)) or whole(block, rows, cut))
+    vectors = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(999, [0.0] * 4), (1000, [0.0] * 4)], "id long, v array<double>").repartition(3)
+    got = {r["node"]: r["component"] for r in learned.components(ml.links_at(vectors, 0.95)).collect()}
+    assert got == brute(x, 0.95) and sum(asked) < 100
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    compared, near = [], ml.neighbours_of
+    monkeypatch.setattr(ml, "neighbours_of", lambda q, r, k: compared.append(q.count()) or near(q, r, k))
+    found = {}
+    for r in sorted(ml.nearest_others(vectors, 5, 0.95).collect(), key=lambda r: (-round(r["sim"], 12), r["other"])):
+        found.setdefault(r["id"], []).append(r["other"])
+    want = {}
+    for i in range(len(x)):
+        order = sorted((-round(float(s), 12), j) for j, s in enumerate(unit @ unit[i]) if j != i and s >= 0.95)
+        if order:
+            want[i] = [j for _, j in order[:5]]
+    assert found == want and compared == [len(np.unique(x, axis=0)) + 1]
