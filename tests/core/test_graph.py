@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from sluice.operators import graph, ml
 from sluice.operators.components import components
 from sluice.operators.transfers import ACCOUNT
-from sluice.plans import registry
+from sluice.plans import registry, relations
 
 
 def test_walk_branches_merges_and_cycles(spark):
@@ -152,3 +152,24 @@ def test_neighbours_equal_brute_force(spark):
     got = {(r["id"], r["other"]) for r in ml.neighbours_of(rows.where("id < 7"), rows, 4).collect()}
     unit = x / np.linalg.norm(x, axis=1)[:, None]
     assert got == {(i, int(j)) for i in range(7) for j in np.argsort(-(unit[i] @ unit.T))[:4]}
+
+
+def test_pairs_of_hops_are_neither_shuffled_nor_written(spark, monkeypatch):
+    """two_hops and reach_three equal plain joins, by broadcast and beyond its bound; by broadcast the plan has no join and no exchange."""
+    rng = np.random.default_rng(14)
+    pairs = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 50, (80, 2))] + [(None, "n1"), ("n2", None), ("n3", "n3")]
+    transfers = spark.createDataFrame(pairs, "sender_id string, receiver_id string")
+    near = {(a, b) for a, b in pairs if a and b}
+    two = {(a, d) for a, b in near for c, d in near if b == c}
+    three = near | two | {(a, d) for a, b in two for c, d in near if b == c}
+    for bound in (graph.BROADCAST_EDGES, 0):
+        monkeypatch.setattr(graph, "BROADCAST_EDGES", bound)
+        for name, want in (("two_hops", two), ("reach_three", three)):
+            open_ends = {tuple(r) for r in registry.run(spark, name, transfers=transfers).collect() if None in tuple(r)}
+            assert open_ends == {tuple(r) for r in relations.query(spark, name, transfers=transfers).collect() if None in tuple(r)}
+            found = registry.run(spark, name, transfers=transfers.where("sender_id IS NOT NULL AND receiver_id IS NOT NULL"))
+            if bound:
+                plan = found._jdf.queryExecution().executedPlan().toString()
+                assert "Exchange" not in plan and "Join" not in plan
+            got = [tuple(r) for r in found.collect()]
+            assert len(got) == len(set(got)) and set(got) == want
