@@ -235,10 +235,14 @@ def candidate_blocks(classes: DataFrame, percent: int) -> DataFrame:
     figures = [F.min("uid").alias("first"), F.max("uid").alias("last"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("uid")).alias("members")]
     shared = rows.groupBy("band").agg(*figures).where("c > 1")
     shared = written(shared.groupBy("first", "last", "c", "members").agg(F.min("band").alias("band")).select("band", "c", F.ceil(F.col("c") / F.lit(BAND_ROWS)).cast("long").alias("chunks")))
-    total = shared.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    members = written(join_back(rows, shared, ["band"], total))
+    n, total = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    if n <= BROADCAST_IDS:  # a row has one key for each band, of which few are shared: the keys stay where they are
+        members = written(rows.join(F.broadcast(shared.drop("c")), "band"))
+    else:
+        members = written(join_back(rows, shared, ["band"], total))
     drop(shared)
-    dealt = members.join(classes.select("uid", "n", "sketch"), "uid").select("band", "uid", "n", "sketch", "chunks")
+    near = F.broadcast(members) if total <= BROADCAST_IDS else members  # so sketches without a shared band aren't shuffled
+    dealt = near.join(classes.select("uid", "n", "sketch"), "uid").select("band", "uid", "n", "sketch", "chunks")
     dealt = dealt.mapInArrow(deal, "band long, uid long, n long, sketch binary, x long, y long, chunk long")
     links = written(dealt.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct())
     drop(members)

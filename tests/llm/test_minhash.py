@@ -125,3 +125,13 @@ def test_join_sketches_connects_by_estimates():
     assert minhash.join_sketches(sizes, sketches, 80).tolist() == [0, 1, 2] * 4
     assert minhash.join_sketches(sizes, sketches, 80, np.arange(12) // 3).tolist() == [0, 1, 2] * 4
     assert minhash.join_sketches(sizes, sketches, 80, np.zeros(12, int)).tolist() == list(range(12))
+
+
+@pytest.mark.parametrize("bound", [minhash.BROADCAST_IDS, 0])
+def test_band_keys_are_not_joined_by_a_shuffle_within_the_bound(spark, bound, monkeypatch):
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", bound)
+    asked, whole = [], minhash.join_back
+    monkeypatch.setattr(minhash, "join_back", lambda rows, groups, keys, *a: asked.append(keys) or whole(rows, groups, keys, *a))
+    rows = list(enumerate(family(np.random.default_rng(15), 20, 30, 2)))
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4)) == brute(rows, 4, 80)
+    assert (["band"] in asked) == (bound == 0)
