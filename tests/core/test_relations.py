@@ -46,3 +46,12 @@ def test_own_tables_stand_in(spark):
     empty = table.limit(0)
     for name in ("find_peel_hops", "coinjoin_shape", "first_seen", "value_flow_edges"):
         assert registry.run(spark, name, legs=empty).collect() == []
+
+
+def test_derived_tables_are_numbered_by_ranges(spark, monkeypatch):
+    written, plans = registry.written, []
+    monkeypatch.setattr(registry, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    for name in ("legs", "relay", "transfers"):
+        got, want = registry.run(spark, name, SF), relations.query(spark, name, SF)
+        assert got.dtypes == want.dtypes and not got.exceptAll(want).count() and not want.exceptAll(got).count()
+    assert len(plans) == 3 and not any("SinglePartition" in p for p in plans)
