@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ SPAN = LENGTH - START + 1
 PIECE = 1 << 20
 #: Contexts of one rank, above which their positions are ranked by Spark instead of within one task.
 HOT_CONTEXTS = 1000
+#: How often the strings of a hot rank are halved before their positions are ranked one by one.
+HALVINGS = 2
 #: Bytes of contexts that a task ranks at a time, at least; a rank's contexts stay together.
 STRETCH = 1 << 20
 _U = np.uint64
@@ -256,6 +258,62 @@ def _rank_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield found(held)
 
 
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts of hot ranks, halved. A string that starts l bytes before its anchor holds the bytes that all strings of l from a to b
+    share; so equal strings are in halves of equal rank, the name of those bytes. ``whole`` names all bytes of the half."""
+    names = ["rank", "whole", "uid", "first", "data", "off", "a", "b"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int32()]
+
+    def name(data: bytes, lo: int, hi: int) -> int:
+        return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=bytes((lo, hi))).digest(), "little", signed=True)
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 4096):
+            some = batch.slice(lo, 4096)
+            data, off = some.column("data").to_pylist(), some.column("off").to_numpy()
+            if (off < 0).any():  # the anchor is the first place with its rank, of whose low bits the position took the place
+                size = np.array([len(c) for c in data])
+                h, rank = Hashes(b"".join(data)).all(START), np.repeat(some.column("rank").to_numpy().view(np.uint64), size)
+                at, begin = np.flatnonzero(h >> _U(21) == rank[: len(h)] >> _U(21)), np.cumsum(size) - size
+                off = at[np.searchsorted(at, begin)] - begin
+            rows = []
+            for uid, first, whole, far, a, b in zip(some.column("uid").to_pylist(), some.column("first").to_pylist(), data, off.tolist(), some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
+                near = far - (len(whole) - LENGTH)
+                middle = (a + b + 1) // 2
+                for a_, b_ in ((a, middle - 1), (middle, b)):
+                    least, most = max(near, a_), min(far, b_)
+                    if least <= most:
+                        part = whole[far - most : far - least + LENGTH]
+                        rows.append((name(whole[far - a_ : far - b_ + LENGTH], a_, b_), name(part, least, most), uid, first + far - most, part, most, a_, b_))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _halved(hot: DataFrame, hot_contexts: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame, list[DataFrame]]:
+    """(spans, contexts, hot, held) of hot contexts: what repeats a half through and through, the halves that share a rank with others,
+    those whose rank is hot still, and the tables that all rest on. Halves that are alone with their rank repeat nothing."""
+    spark = hot.sparkSession
+    place, one = F.struct("uid", "first"), F.count(F.lit(1))
+    spans, inside, held = [], [], []
+    left = hot.select("rank", "uid", "first", "data", F.lit(-1).alias("off"), F.lit(0).alias("a"), F.lit(SPAN - 1).alias("b"))
+    for _ in range(HALVINGS):
+        halves = written(left.mapInArrow(_halves, "rank long, whole long, uid long, first long, data binary, off int, a int, b int"))
+        firsts = written(halves.groupBy("rank", "whole").agg(one.alias("c"), F.min(place).alias("earliest")))
+        ranks = written(firsts.groupBy("rank").agg(one.alias("c"), one.alias("n_firsts")))
+        groups = written(join_back(firsts, ranks, ["rank"], _total(ranks)))
+        rows = join_back(halves, groups, ["rank", "whole"], _total(groups)).withColumn("again", place != F.col("earliest"))
+        rows = written(rows.where("again OR n_firsts > 1").drop("whole", "earliest"))
+        drop(halves, firsts, ranks, groups)
+        release(spark)
+        held.append(rows)
+        spans.append(rows.where("again").select("uid", F.col("first").alias("start"), (F.col("first") + F.octet_length("data")).alias("end")))
+        inside.append(rows.where(~F.col("again") & (F.col("n_firsts") <= hot_contexts)).select("rank", "uid", "first", "data"))
+        left = rows.where(~F.col("again") & (F.col("n_firsts") > hot_contexts))
+        if left.isEmpty():
+            break
+    return spans, inside, left, held
+
+
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The strings of hot contexts by their rank of 100, the pair (x, y) of ranks of 50 at offset 50: of a few thousand contexts
     the first of each rank with an empty end, and what repeats it as spans, already joined to runs."""
@@ -315,8 +373,8 @@ def repeated_spans(base: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     that may overlap or touch. ``base``: (uid, text) with unique uids whose order decides what is earlier.
 
     Ranks are counted by minima and maxima that are combined before the shuffle; ``join_back`` brings them back to the
-    positions and deals out the rows of a very frequent rank. Strings of hot contexts are joined with nothing: a few thousand contexts keep
-    the first of each string, and what Spark sorts has it once for each of those. Tables are deleted as soon as the next one is written.
+    positions and deals out the rows of a very frequent rank. Hot contexts are halved first, so that few of them stay hot. Strings of those are
+    joined with nothing: a few thousand contexts keep the first of each string, and what Spark sorts has it once for each of those. Tables are deleted as soon as the next one is written.
     """
     spark = base.sparkSession
     place, one = F.struct("uid", "first"), F.count(F.lit(1)).alias("c")
@@ -346,11 +404,15 @@ def repeated_spans(base: DataFrame, hot_contexts: int = HOT_CONTEXTS) -> DataFra
     contexts = written(contexts)
     drop(listed, hot)
     release(spark)
-    inside = contexts.where("NOT hot").drop("hot").repartition("rank").sortWithinPartitions("rank", "uid", "first").mapInArrow(_rank_stretches, _SPANS)
-    spans = rows.where("NOT mixed").select(*span).unionByName(mixed.where("again").select(*span)).unionByName(inside)
-    held = [rows, mixed, contexts]
+    inside, held = contexts.where("NOT hot").drop("hot"), [rows, mixed, contexts]
+    spans = rows.where("NOT mixed").select(*span).unionByName(mixed.where("again").select(*span))
     if some_hot:
-        strings = written(contexts.where("hot").mapInArrow(_names, "x long, y long, uid long, start long, end long"))
+        through, halves, left, tables = _halved(contexts.where("hot"), hot_contexts)
+        spans, inside = reduce(DataFrame.unionByName, through, spans), reduce(DataFrame.unionByName, halves, inside)
+        held += tables
+    spans = spans.unionByName(inside.repartition("rank").sortWithinPartitions("rank", "uid", "first").mapInArrow(_rank_stretches, _SPANS))
+    if some_hot and not left.isEmpty():
+        strings = written(left.mapInArrow(_names, "x long, y long, uid long, start long, end long"))
         spans = spans.unionByName(strings.where("end IS NOT NULL").select("uid", "start", "end"))
         firsts_of = strings.where("end IS NULL").select("x", "y", "uid", F.col("start").alias("at"))
         later = firsts_of.repartition("x", "y").sortWithinPartitions("x", "y", "uid", "at").mapInArrow(_later, "uid long, at long")

@@ -130,3 +130,15 @@ def test_later_strings_over_batches():
     for r in rows:
         first.setdefault(r[:2], r[2:])
     assert out == [r[2:] for r in rows if r[2:] != first[r[:2]]]
+
+
+def test_hot_contexts_that_share_a_few_words_name_no_string(spark, monkeypatch):
+    written, tables = suffixes.written, []
+    monkeypatch.setattr(suffixes, "written", lambda df: tables.append(df.columns) or written(df))
+    rng = np.random.default_rng(5)
+    word = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))
+    common = "words that very many texts hold"
+    rows = [(i, f"{word(20)} {common} {word(20)}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(suffixes.suffix_dedup(docs, hot_contexts=30)) == brute(rows)
+    assert any("whole" in t for t in tables) and not any("x" in t for t in tables)
