@@ -95,6 +95,23 @@ def test_models_reach_levels_and_sinks(spark, sf, monkeypatch):
     assert len({r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in found.values()}) == 1 and all(0 <= r["f1"] <= 1 for r in found.values())
 
 
+def test_boosted_trees_see_equal_rows_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 4, (900, 2))
+    data = [(i, float(a), float(b), int(a + b + rng.integers(0, 3) > 4)) for i, (a, b) in enumerate(x.tolist())]
+    rows = spark.createDataFrame(data, "id long, a double, b double, label int").repartition(3)
+    seen, fit = [], ml.GBTClassifier._fit
+    monkeypatch.setattr(ml.GBTClassifier, "_fit", lambda self, of: seen.append(of.count()) or fit(self, of))
+    models = ml.train_ensemble(rows, ["a", "b"], (6, 6, 3))
+    assert seen == [len({r[1:] for r in data})] * 2
+    ones = sum(r[3] for r in data)
+    whole = rows.selectExpr("*", f"IF(label = 1, {900 / (2 * ones)}D, {900 / (2 * (900 - ones))}D) AS weight")
+    stages = [ml.VectorAssembler(inputCols=["a", "b"], outputCol="raw", handleInvalid="keep"), ml.StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
+    plain = [ml.Pipeline(stages=[*stages, ml._classifier(kind, n).setWeightCol("weight")]).fit(whole) for kind, n in (("boosted", 6), ("deep", 6), ("forest", 3))]
+    got, want = ({r["id"]: r["score"] for r in ml.predict_ensemble(m, rows, "id").collect()} for m in (models, plain))
+    assert got.keys() == want.keys() and all(np.isclose(got[i], want[i]) for i in want) and len(set(got.values())) > 5
+
+
 def test_wide_table_and_its_list(spark, sf):
     wide = learned.src_wide_features(spark, sf)
     assert [r["feature"] for r in learned.src_feature_list(spark, sf).collect()] == learned.ACCOUNT == wide.columns[1:-1]
