@@ -1,7 +1,8 @@
 import numpy as np
 
 from sluice.operators import ml
-from sluice.plans import learned
+from sluice.plans import learned, registry
+from sluice.plans.relations import reached
 
 
 def brute(x, cut):
@@ -95,6 +96,19 @@ def test_models_reach_levels_and_sinks(spark, sf, monkeypatch):
     assert len({r["tp"] + r["fp"] + r["fn"] + r["tn"] for r in found.values()}) == 1 and all(0 <= r["f1"] <= 1 for r in found.values())
 
 
+def test_features_of_accounts_are_worked_out_once(spark, sf, monkeypatch):
+    """Models, oddness, levels and flags read one table; relay events, of which a column only has the name, aren't derived for it."""
+    monkeypatch.setattr(registry, "_MEMOS", {})
+    classifier = ml._classifier
+    monkeypatch.setattr(ml, "_classifier", lambda kind, trees: classifier(kind, 2))
+    want = {r["id"]: r for r in learned._ask(spark, sf, "acct_features").collect()}
+    levels = learned.ensemble_levels(spark, sf)
+    assert "sender_id" not in levels._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: r for r in learned._of_accounts(spark, sf, "acct_features").collect()} == want == {r["id"]: want[r["id"]] for r in levels.collect()}
+    (memo,) = registry._MEMOS.values()
+    assert set(memo) == {"transfers", "feature_rows"} and "relay" not in reached("rule_risk") and "relay" in reached("unique_ips")
+
+
 def test_boosted_trees_see_equal_rows_once(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.integers(0, 4, (900, 2))
