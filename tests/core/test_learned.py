@@ -155,3 +155,17 @@ def test_copies_and_one_large_component_need_few_comparisons(spark, monkeypatch)
         if order:
             want[i] = [j for _, j in order[:5]]
     assert found == want and compared == [len(np.unique(x, axis=0)) + 1]
+
+
+def test_similarity_cut_is_that_of_all_pairs(spark, monkeypatch):
+    """More rows than any draw, in several blocks, with copies and a vector of length 0: the percentile of all pairs, and none of fewer than two rows."""
+    monkeypatch.setattr(ml, "BLOCK", 700)
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0, 1, (2400, 4)), np.repeat(rng.normal(0, 1, (20, 4)), 12, axis=0), np.zeros((2, 4))])
+    vectors = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(9999, None)], "id long, v array<double>").repartition(3)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+    sim = (unit @ unit.T)[np.triu_indices(len(x), 1)]
+    for share in (0.995, 0.5, 0.0, 1.0):
+        assert np.isclose(ml.similarity_cut(vectors, share), np.percentile(sim, 100 * share), rtol=0, atol=1e-13), share
+    assert ml.similarity_cut(vectors.where("id < 1")) is None and ml.similarity_cut(vectors.where("id < 2")) == ml.similarity_cut(vectors.where("id < 2"), 0.0)
+    assert ml._keys(np.array([-1.0, -0.5, -0.0, 0.0, 1e-300, 1.0, np.nan])).argsort(kind="stable").tolist() == [*range(7)] and ml._cosine(int(ml._keys(np.array([-0.25]))[0])) == -0.25
