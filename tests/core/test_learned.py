@@ -169,3 +169,24 @@ def test_similarity_cut_is_that_of_all_pairs(spark, monkeypatch):
         assert np.isclose(ml.similarity_cut(vectors, share), np.percentile(sim, 100 * share), rtol=0, atol=1e-13), share
     assert ml.similarity_cut(vectors.where("id < 1")) is None and ml.similarity_cut(vectors.where("id < 2")) == ml.similarity_cut(vectors.where("id < 2"), 0.0)
     assert ml._keys(np.array([-1.0, -0.5, -0.0, 0.0, 1e-300, 1.0, np.nan])).argsort(kind="stable").tolist() == [*range(7)] and ml._cosine(int(ml._keys(np.array([-0.25]))[0])) == -0.25
+
+
+def test_shadow_account_is_judged_by_all_pairs(spark, monkeypatch):
+    """The threshold that a wallet's look-alikes must reach is that of all wallets, more than any draw would have."""
+    rng = np.random.default_rng(16)
+    rows = [(f"w{i}" if i else "wp0_0", 3, *[float(v) for v in rng.normal(0, 1, 7)]) for i in range(2300)]
+    rows[1] = ("w1", 3, *[v + 0.01 for v in rows[0][2:]])
+    prints = spark.createDataFrame(rows, "wallet string, event_count long, " + ", ".join(f"{c} double" for c in learned.BEHAVIOUR[1:]))
+    monkeypatch.setattr(learned, "_ask", lambda spark, sf_dir, name: prints)
+    cuts, whole = [], ml.nearest_others
+    monkeypatch.setattr(ml, "nearest_others", lambda v, k, cut: cuts.append(cut) or whole(v, k, cut))
+    got = {r["match"] for r in learned.shadow_account(spark, "").collect()}
+    vectors = {r["wallet"]: np.array(r["embedding"]) for r in ml.embed(prints, learned.BEHAVIOUR, "wallet").collect()}
+    names = sorted(vectors)
+    x = np.array([vectors[n] for n in names])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    sim = unit @ unit.T
+    want = np.percentile(sim[np.triu_indices(len(x), 1)], 99.5)
+    own = names.index("wp0_0")
+    near = [i for i in np.argsort(-sim[own])[:6] if i != own and sim[own, i] >= want]
+    assert np.isclose(cuts[0], want, rtol=0, atol=1e-12) and got == {names[i] for i in near} and "w1" in got
