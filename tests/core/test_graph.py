@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -173,3 +175,23 @@ def test_pairs_of_hops_are_neither_shuffled_nor_written(spark, monkeypatch):
                 assert "Exchange" not in plan and "Join" not in plan
             got = [tuple(r) for r in found.collect()]
             assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pairs_of_hops_are_written_compactly(spark, tmp_path, monkeypatch):
+    """What several nodes reach stands together, slice by slice of the targets: no pair is lost or made twice, and less is written than node by node, where each takes 1.5 bytes."""
+    for name, small in (("SLICE_NAMES", 250), ("NODES", 500)):
+        monkeypatch.setattr(graph, name, small, raising=False)
+    rng = np.random.default_rng(17)
+    n, near = 2000, [set() for _ in range(2000)]
+    for a, b in rng.integers(0, n, (20_000, 2)).tolist():
+        near[a].add(b)
+    transfers = spark.createDataFrame([(f"ACC{100000 + a}", f"ACC{100000 + b}") for a in range(n) for b in near[a]], "sender_id string, receiver_id string")
+    two = [set().union(*(near[b] for b in near[a])) for a in range(n)]
+    three = [near[a] | two[a] | set().union(*(near[c] for c in two[a])) for a in range(n)]
+    registry.run(spark, "reach_three", transfers=transfers).write.parquet(f"{tmp_path}/out")
+    got = [set() for _ in range(n)]
+    src, dst = (spark.read.parquet(f"{tmp_path}/out").toArrow()[c].to_pylist() for c in ("src", "dst"))
+    for a, b in zip(src, dst, strict=True):
+        got[int(a[3:]) - 100000].add(int(b[3:]) - 100000)
+    assert got == three and len(src) == sum(map(len, three)) > 1_000_000
+    assert sum(f.stat().st_size for f in Path(f"{tmp_path}/out").glob("*.parquet")) < 1.25 * len(src)
